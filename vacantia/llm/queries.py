@@ -1,0 +1,56 @@
+"""Queries pN_... of this subpackage and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vacantia.llm import identifier_groups as p3
+from vacantia.llm import survivors as p6
+from vacantia.plans.tables import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """company_id, group_id of companies tied by identifiers."""
+    return p3.identifier_groups(table(spark, sf_dir, "company_identifier_observations"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """group_id, website_company_id, identity_company_id of companies with equal name and city."""
+    return p6.company_survivors(table(spark, sf_dir, "companies"), table(spark, sf_dir, "source_trust"), table(spark, sf_dir, "portals"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+
+SQL = {
+    "p3_found": r"""
+        WITH RECURSIVE digits AS (
+            SELECT company_id, lower(trim(kind)) AS k, value, regexp_replace(value, '[^0-9]', '', 'g') AS d
+            FROM company_identifier_observations),
+        keyed AS (
+            SELECT DISTINCT company_id, k || ':' || d AS key FROM digits
+            WHERE k IN ('nip', 'regon', 'krs') AND length(d) = CASE k WHEN 'regon' THEN 9 ELSE 10 END
+              AND NOT contains('01234567890123456789', d) AND NOT contains('98765432109876543210', d)
+              AND d <> repeat(d[1], length(d))
+            UNION
+            SELECT DISTINCT company_id, k || ':' || lower(regexp_extract(value, '^\s*[A-Za-z]+://([^/?#\s]+)', 1))
+                   || rtrim(regexp_extract(value, '^\s*[A-Za-z]+://[^/?#\s]+([^?#\s]*)', 1), '/') FROM digits
+            WHERE k LIKE '%\_employer\_profile' ESCAPE '\' AND value LIKE '%://%/%'),
+        tie AS (SELECT DISTINCT a.company_id AS a, b.company_id AS b FROM keyed a JOIN keyed b USING (key) WHERE a.company_id <> b.company_id),
+        reach(a, b) AS (SELECT a, b FROM tie UNION SELECT r.a, t.b FROM reach r JOIN tie t ON t.a = r.b)
+        SELECT a AS company_id, least(a, min(b)) AS group_id FROM reach GROUP BY a""",
+    "p6_found": r"""
+        WITH hosts AS (SELECT DISTINCT regexp_replace(lower(host), '^www\.', '') AS h FROM portals),
+        trust AS (SELECT regexp_replace(lower(trim(identity_source)), '[-_\s]+', '_', 'g') AS s, min(trust_rank) AS r FROM source_trust GROUP BY 1),
+        c AS (
+            SELECT id, normalized_name AS n, normalized_city AS ci, updated_at, r,
+                   CASE WHEN identity_confidence BETWEEN 0 AND 1 THEN identity_confidence END AS conf,
+                   regexp_replace(regexp_replace(lower(regexp_extract(regexp_replace(trim(website_url), '^(https?:)?//', '', 'i'), '^([^/?#\s]*)', 1)), ':[0-9]*$|\.$', ''), '^www\.', '') AS host
+            FROM companies LEFT JOIN trust ON s = regexp_replace(lower(trim(identity_source)), '[-_\s]+', '_', 'g')
+            WHERE normalized_name IS NOT NULL AND normalized_city IS NOT NULL),
+        o AS (
+            SELECT *, row_number() OVER (PARTITION BY n, ci ORDER BY r NULLS LAST, conf DESC NULLS LAST, updated_at DESC NULLS LAST, id) AS rn,
+                   regexp_full_match(coalesce(host, ''), '[\p{L}\p{N}_-]+(\.[\p{L}\p{N}_-]+)+') AND host NOT IN (SELECT h FROM hosts) AS web FROM c)
+        SELECT min(id) AS group_id, coalesce(arg_min(id, rn) FILTER (WHERE web), 0) AS website_company_id,
+               coalesce(arg_min(id, rn) FILTER (WHERE r IS NOT NULL AND conf IS NOT NULL), 0) AS identity_company_id
+        FROM o GROUP BY n, ci HAVING count(*) > 1""",
+}
