@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.llm import identifier_groups as p3
+from vacantia.llm import places as p5
+from vacantia.llm import residue as p4
 from vacantia.llm import survivors as p6
 from vacantia.plans.tables import table
 
@@ -14,12 +16,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3.identifier_groups(table(spark, sf_dir, "company_identifier_observations"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_table, record_id of texts that are residue of templates or failed pages."""
+    return p4.found_residue(table(spark, sf_dir, "job_postings"), table(spark, sf_dir, "contact_evidence_snapshots"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_table, record_id, city_id of every non-blank city of postings and companies."""
+    return p5.located_records({t: table(spark, sf_dir, t) for t in ("job_postings", "companies")}, table(spark, sf_dir, "city_reference"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """group_id, website_company_id, identity_company_id of companies with equal name and city."""
     return p6.company_survivors(table(spark, sf_dir, "companies"), table(spark, sf_dir, "source_trust"), table(spark, sf_dir, "portals"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 
 SQL = {
     "p3_found": r"""
