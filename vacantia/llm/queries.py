@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.llm import identifier_groups as p3
+from vacantia.llm import mixture as p9
 from vacantia.llm import places as p5
 from vacantia.llm import residue as p4
 from vacantia.llm import survivors as p6
+from vacantia.llm import tokenize as p8
 from vacantia.plans.tables import table
 
 
@@ -31,7 +33,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6.company_survivors(table(spark, sf_dir, "companies"), table(spark, sf_dir, "source_trust"), table(spark, sf_dir, "portals"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids of every document by byte_bpe_50k."""
+    return p8.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, copies of every document of the mixture."""
+    return p9.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source was to contribute and what it contributes."""
+    return p9.mixture_shares(*p9.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets")))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 SQL = {
     "p3_found": r"""

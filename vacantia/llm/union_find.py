@@ -118,7 +118,7 @@ def _merge_forests(edges: DataFrame, per_task: int) -> DataFrame:
         above = merged.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("c"))
         jumped = merged.join(above, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")).distinct()
         jumped = cut(jumped)
-        left = jumped.agg(F.count_if("moved").alias("moved"), (F.count("*") - F.count_distinct("a")).alias("twice")).first()
+        left = jumped.agg(F.count_if(F.col("moved")).alias("moved"), (F.count("*") - F.count_distinct("a")).alias("twice")).first()
         edges = jumped.select("a", "b")
         if not left.moved and not left.twice:
             return _members(edges)
