@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.llm import identifier_groups as p3
 from vacantia.llm import mixture as p9
+from vacantia.llm import names as p1
 from vacantia.llm import near_duplicates as p2
 from vacantia.llm import places as p5
 from vacantia.llm import residue as p4
@@ -14,6 +15,12 @@ from vacantia.llm import tokenize as p8
 from vacantia.plans.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """company_id_a, company_id_b of rows of one employer under different names."""
+    tables = (table(spark, sf_dir, t) for t in ("companies", "company_aliases", "job_postings", "city_reference", "portals"))
+    return p1.variant_pairs(p1.employer_clusters(*tables))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """observation_id_a, observation_id_b of adverts reposted with small changes."""
     return p2.near_duplicate_pairs(table(spark, sf_dir, "job_posting_observations"), "id", ["title", "description"], "description", ["source", "source_id"])
@@ -54,7 +61,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9.mixture_shares(*p9.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets")))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 SQL = {
     "p3_found": r"""
