@@ -10,6 +10,7 @@ from vacantia.llm import names as p1
 from vacantia.llm import near_duplicates as p2
 from vacantia.llm import places as p5
 from vacantia.llm import residue as p4
+from vacantia.llm import subjects as p10
 from vacantia.llm import survivors as p6
 from vacantia.llm import tokenize as p8
 from vacantia.plans.tables import table
@@ -61,7 +62,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9.mixture_shares(*p9.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, subject of every subject area a document is about."""
+    return p10.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_areas", "subject_samples")))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
     "p3_found": r"""
