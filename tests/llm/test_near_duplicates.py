@@ -89,7 +89,9 @@ def test_shingles_and_sketches_estimate_similarity():
         if want[i] > 40:
             x, y = minima[at[i]], minima[at[i + 50]]
             assert abs((x == y).mean() - want[i] / (want[i] + 3)) < 0.12
+            rows = nd.pivot_rows(fp[[at[i], at[i + 50]]]).view(np.uint8).reshape(2, nd.PIVOTS).astype(int)
+            assert rows[0].tolist() == [sum(bin(int(w) ^ (int(f) & (2**64 - 1))).count("1") for w, f in zip(ref, fp[at[i]])) for ref in nd._REFERENCES]
             bits = sum(bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") for a, b in zip(fp[at[i]], fp[at[i + 50]]))
-            assert bits < nd.FAR / 2
+            assert bits < nd.FAR / 2 and np.abs(rows[0] - rows[1]).max() <= bits
             far = sum(bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") for a, b in zip(fp[at[i]], fp[at[(i + 1) % 50 if want[(i + 1) % 50] > 40 else i]]))
             assert far == 0 or far > nd.FAR * 0.9

@@ -4,53 +4,56 @@ A record's words are the runs of letters and digits of its texts in lower case,
 distinct triples of consecutive words. A pair counts when both share at least `THRESHOLD` of the
 shingles either has.
 
-1. Equal word sequences are one text. Everything up to the last step works on distinct texts, so a
-   text that is on a third of all rows costs as much as any other.
-2. One Arrow pass makes each text's sketch: `BANDS` x `ROWS` minimum hashes over its whole set of
-   shingles, from them a fingerprint of one bit each and one hash per band.
-3. Texts that agree on a band are candidates: one equi-join on the band's hash. (Hamming distances to
-   pivots order no space by themselves: on these fingerprints unrelated texts lie within two
-   per cent of the same distance from every pivot, so the table alone would leave nearly all pairs.)
-4. Pivot table: the Hamming distances of each fingerprint to `PIVOTS` reference fingerprints. By the
-   triangle inequality the largest difference of two rows is at most their distance, so pairs with
-   a coordinate further apart than `FAR` are discarded, then pairs whose distance itself is.
-   `FAR` is six standard deviations above the expected distance at the threshold.
+1. Equal word sequences are one text, so a text that is on a third of all rows costs as much as any other.
+2. One Arrow pass over the distinct texts makes each one's sketch: `BANDS` x `ROWS` minimum hashes over its
+   whole set of shingles, from them a fingerprint of one bit each, the fingerprint's Hamming distances to
+   `PIVOTS` reference fingerprints (the pivot table) and one hash per band. Sketches are written once,
+   bucketed by text, so the joins of steps 4 and 5 move pairs, never sketches.
+3. Texts that agree on a band are candidates: one equi-join on the band's hash. (Distances to pivots
+   alone order no space of this kind: unrelated texts all lie near the same distance from every pivot.)
+4. By the triangle inequality the largest difference of two rows of the pivot table is at most the
+   distance of the texts, so pairs with a coordinate further apart than `FAR` are discarded, then pairs
+   whose distance itself is. `FAR` is five standard deviations above the mean at the threshold.
 5. The survivors are verified on the shingles themselves, in integers.
 6. Pairs of texts expand into pairs of records of different keys. Records are grouped by text and key
    first, so the sightings of one key never pair with each other.
 
 The chance that a pair just at the threshold shares no band is 0.13 per cent (0.8704 ** 48), at a
-similarity of 0.7 it is 0.0002 per cent; all later steps lose none.
+similarity of 0.7 it is 0.0002 per cent; all later steps lose less than one in a million.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.session import cut
+from vacantia.session import ensure_checkpoint_dir
 
 #: Shared share of shingles from which a pair counts, as numerator and denominator.
 THRESHOLD = (6, 10)
 WORDS = 3
 BANDS, ROWS = 48, 4
-PIVOTS = 64
+PIVOTS = 16
 #: Most bits in which fingerprints of a pair at the threshold differ: mean 38.4, deviation 5.5.
-FAR = 72
-#: Distinct words whose hashes a task keeps.
-KEPT_WORDS = 500_000
-#: Words whose hashes are at work at once.
-SLICE_WORDS = 1_000_000
-
-_SKETCH = "t bigint, n int, fp array<bigint>, bands array<bigint>, shingles array<int>"
+FAR = 66
+#: Distinct words and texts whose hashes a task keeps.
+KEPT_WORDS, KEPT_TEXTS = 500_000, 1_000_000
+#: Characters whose shingles are at work at once.
+SLICE_CHARS = 4_000_000
+
+_FP = BANDS * ROWS // 64
+_SKETCH = "t bigint, h1 bigint, h2 bigint, n int, " + "".join(f"f{i} bigint, " for i in range(_FP)) + "".join(f"r{i} bigint, " for i in range(PIVOTS // 8)) + "bands array<bigint>, shingles array<int>"
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_REFERENCES = _rng.integers(0, 2**64, (PIVOTS, _FP), dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,73 +117,118 @@ def band_hashes(minima: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def pivot_rows(fp: np.ndarray) -> np.ndarray:
+    """The pivot table: a byte for the distance to each reference, eight to a word."""
+    apart = np.bitwise_count(fp.view(np.uint64)[:, None, :] ^ _REFERENCES[None]).sum(axis=2, dtype=np.uint64)
+    shift = np.uint64(8) * np.arange(8, dtype=np.uint64)
+    return (apart.reshape(len(fp), PIVOTS // 8, 8) << shift).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
 def _list(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.ravel(), kind))
 
 
+def word_sequences(columns: list[pa.Array]) -> pa.Array:
+    """The words of the texts in order, in lower case, with a blank between two."""
+    parts = [pc.fill_null(pc.cast(c, pa.large_string()), "") for c in columns]
+    joined = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+    return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(joined), r"[^\pL\pN]+", " "))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _hashed(with_words: bool, texts: int):
+    """Batches of (id, key, texts...) to the 128-bit hash of their words, and the words once a task or the id and key."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            words = word_sequences(batch.columns[2 : 2 + texts])
+            enough = pc.greater_equal(pc.count_substring(words, " "), WORDS - 1)
+            words, ids, keys = (x.filter(enough) for x in (words, batch.column(0), batch.column(1)))
+            digests = [xxhash.xxh3_128_intdigest(w) for w in words.to_pylist()]
+            h1, h2 = ([_signed(x) for x in hs] for hs in ([d >> 64 for d in digests], [d & (2**64 - 1) for d in digests]))
+            if not with_words:
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["id", "key", "h1", "h2"])
+                continue
+            if len(seen) > KEPT_TEXTS:
+                seen.clear()
+            new = [d not in seen and not seen.add(d) for d in digests]
+            mask = pa.array(new, pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()).filter(mask), pa.array(h2, pa.int64()).filter(mask), pc.cast(words.filter(mask), pa.string())], names=["h1", "h2", "words"])
+
+    return run
+
+
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Words()
+    """Batches of (h1, h2, words), all rows of one h1 in one task, to one sketch per text."""
+    known, texts_of = _Words(), {}
     for batch in batches:
-        ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+        new = []
+        for h1, h2, words in rows:
+            held = texts_of.setdefault(h1, [])
+            if h2 not in held:  # two texts of one h1 are as good as impossible; the later one is named by both halves
+                new.append((h1 if not held else _signed(int(mix(np.array([(h1 ^ h2) & (2**64 - 1)], np.uint64))[0])), h1, h2, words))
+                held.append(h2)
         lo = 0
-        while lo < len(texts):
+        while lo < len(new):
             hi, size = lo, 0
-            while hi < len(texts) and size < SLICE_WORDS:
-                size += len(texts[hi]) // 4
+            while hi < len(new) and size < SLICE_CHARS:
+                size += len(new[hi][3])
                 hi += 1
-            shingles, counts = shingle_sets(texts[lo:hi], known)
-            have = counts > 0
-            t, counts = ids[lo:hi][have], counts[have]
+            part = new[lo:hi]
             lo = hi
-            if not len(t):
-                continue
+            shingles, counts = shingle_sets([w for *_, w in part], known)
             minima = sketches(shingles, counts)
             fp, bands = fingerprints(minima), band_hashes(minima)
-            each = lambda a: np.full(len(a), a.shape[1])
+            near = pivot_rows(fp)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(t, pa.int64()), pa.array(counts, pa.int32()), _list(fp, each(fp), pa.int64()), _list(bands, each(bands), pa.int64()), _list(shingles.view(np.int32), counts, pa.int32())],
-                names=["t", "n", "fp", "bands", "shingles"],
-            )
+                [*(pa.array([p[i] for p in part], pa.int64()) for i in range(3)), pa.array(counts, pa.int32()), *(pa.array(c, pa.int64()) for c in (*fp.T, *near.T)),
+                 _list(bands, np.full(len(part), BANDS), pa.int64()), _list(shingles.view(np.int32), counts, pa.int32())],
+                names=[c.split()[0] for c in _SKETCH.split(", ")],
+            )
 
 
-def word_sequence(*texts: Column) -> Column:
-    """The words of the texts in order, in lower case, with a blank between two."""
-    joined = F.lower(F.concat_ws(" ", *texts))
-    return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}]+", " "))
+def written_sketches(texts: DataFrame) -> DataFrame:
+    """The sketches of (h1, h2, words), written to the shared checkpoint folder bucketed by t."""
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"sketches_{uuid.uuid4().hex}"
+    made = texts.repartition(parts, "h1").mapInArrow(_sketch, _SKETCH)
+    made.write.format("parquet").bucketBy(parts, "t").option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Bits in which two fingerprints differ."""
-    words = BANDS * ROWS // 64
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, words)), F.bit_count(a[0].bitwiseXOR(b[0])))
+def _distance(i: str, j: str) -> Column:
+    words = [F.bit_count(F.col(f"f{k}{i}").bitwiseXOR(F.col(f"f{k}{j}"))) for k in range(_FP)]
+    return sum(words[1:], words[0])
 
 
-def similar_texts(texts: DataFrame, far: int = FAR, pivots: int = PIVOTS) -> DataFrame:
-    """t1, t2 (t1 < t2) of all pairs of texts at the threshold or above.
+def _apart(i: str, j: str) -> Column:
+    """The largest difference of two rows of the pivot table."""
 
-    `texts` has t (bigint, unique) and words (a word sequence). Texts of fewer than three words have
-    no shingles and no pairs.
-    """
-    s = cut(texts.select("t", "words").mapInArrow(_sketch, _SKETCH))
-    bands = s.select("t", F.explode("bands").alias("band"))
-    pairs = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.t") < F.col("y.t"))).select(F.col("x.t").alias("t1"), F.col("y.t").alias("t2")).distinct()
-    # a bounded sample of the texts' own fingerprints serves as pivots
-    chosen = [r.fp for r in s.select("t", "fp").orderBy(F.xxhash64("t"), "t").limit(pivots).collect()]
-    table = s.select("t", "n", "fp")
-    if chosen:
-        refs = F.array(*[F.array(*[F.lit(w) for w in fp]) for fp in chosen])
-        table = table.withColumn("row", F.transform(refs, lambda r: distance(F.col("fp"), r)))
-    else:
-        table = table.withColumn("row", F.array().cast("array<int>"))
-    x, y = (table.select(*[F.col(c).alias(f"{c}{i}") for c in table.columns]) for i in (1, 2))
+    def at(side: str, k: int) -> Column:
+        return F.shiftrightunsigned(F.col(f"r{k // 8}{side}"), 8 * (k % 8)).bitwiseAND(F.lit(255))
+
+    return F.greatest(*[F.abs(at(i, k) - at(j, k)) for k in range(PIVOTS)])
+
+
+def similar_texts(s: DataFrame, far: int = FAR) -> DataFrame:
+    """t1, t2 (t1 < t2) of all pairs of sketched texts at the threshold or above."""
     p, q = THRESHOLD
-    near = pairs.join(x, "t1").join(y, "t2").filter((F.col("n1") * q >= F.col("n2") * p) & (F.col("n2") * q >= F.col("n1") * p))
-    apart = F.aggregate(F.zip_with("row1", "row2", lambda a, b: F.abs(a - b)), F.lit(0), lambda m, d: F.greatest(m, d))
-    near = near.filter(apart <= far).filter(distance(F.col("fp1"), F.col("fp2")) <= far).select("t1", "t2", "n1", "n2")
-    sets = s.select("t", "shingles")
-    near = near.join(sets.select(F.col("t").alias("t1"), F.col("shingles").alias("s1")), "t1").join(sets.select(F.col("t").alias("t2"), F.col("shingles").alias("s2")), "t2")
+    bands = s.select("t", "n", F.explode("bands").alias("band"))
+    x, y = bands.alias("x"), bands.alias("y")
+    sized = (F.col("x.n") * q >= F.col("y.n") * p) & (F.col("y.n") * q >= F.col("x.n") * p)
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.t") < F.col("y.t")) & sized).select(F.col("x.t").alias("t1"), F.col("y.t").alias("t2")).distinct()
+    row = ["n", *[f"f{i}" for i in range(_FP)], *[f"r{i}" for i in range(PIVOTS // 8)]]
+    a, b = (s.select(F.col("t").alias(f"t{i}"), *[F.col(c).alias(f"{c}{i}") for c in row]) for i in (1, 2))
+    near = pairs.join(a, "t1").join(b, "t2").filter(_apart("1", "2") <= far).filter(_distance("1", "2") <= far).select("t1", "t2", "n1", "n2")
+    s1, s2 = (s.select(F.col("t").alias(f"t{i}"), F.col("shingles").alias(f"s{i}")) for i in (1, 2))
     both = F.size(F.array_intersect("s1", "s2"))
-    return near.filter(both * q >= (F.col("n1") + F.col("n2") - both) * p).select("t1", "t2")
+    return near.join(s1, "t1").join(s2, "t2").filter(both * q >= (F.col("n1") + F.col("n2") - both) * p).select("t1", "t2")
 
 
 def near_duplicate_pairs(rows: DataFrame, id_col: str, text_cols: list[str], body_col: str, key_cols: list[str]) -> DataFrame:
@@ -188,31 +236,26 @@ def near_duplicate_pairs(rows: DataFrame, id_col: str, text_cols: list[str], bod
 
     Records with a NULL or blank body are left out; other NULL texts count as empty. Records that
     carry the same key (all of `key_cols` equal and none NULL) are no pair. Identifiers are unique;
-    repeated rows of one identifier make no pair with themselves. Texts of any length count whole;
-    other columns are ignored; an empty table gives no rows.
+    repeated rows of one identifier make no pair with themselves. Texts of fewer than three words
+    have no shingles and no pairs; texts of any length count whole; other columns are ignored; an
+    empty table gives no rows.
     """
-    keyed = rows.filter(F.regexp_replace(F.col(body_col), r"[\s\p{Z}\x{feff}]+", "") != "").select(F.col(id_col).cast("bigint").alias("id"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(key_cols)], word_sequence(*[F.col(c) for c in text_cols]).alias("words"))
-    keys = [F.col(f"k{i}") for i in range(len(key_cols))]
-    whole = keys[0].isNotNull()
-    for k in keys[1:]:
-        whole &= k.isNotNull()
+    whole = F.lit(True)
+    for k in key_cols:
+        whole &= F.col(k).isNotNull()
+    identifier = F.col(id_col).cast("bigint")
     # a record without a whole key is a key of its own
-    keyed = keyed.filter(F.size(F.split("words", " ")) >= WORDS).select("id", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), F.when(whole, F.struct(*keys)).alias("key"))
-    distinct = keyed.groupBy("h1", "h2").agg(F.min("id").alias("t"), F.first("words").alias("words"))
-    pairs = similar_texts(distinct)
-    member = keyed.select("id", "h1", "h2", "key").join(keyed.groupBy("h1", "h2").agg(F.min("id").alias("t")), ["h1", "h2"]).select("id", "t", "key")
-    member = cut(member.withColumn("key", F.to_json(F.struct("key", F.when(F.col("key").isNull(), F.col("id")).alias("own")))))
+    key = F.when(whole, F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key_cols)]))).otherwise(F.concat(F.lit("#"), identifier.cast("string")))
+    some = rows.filter(F.col(body_col).rlike(r"[^\s\p{Z}\x{feff}]"))
+    read = some.select(identifier.alias("id"), key.alias("key"), *[F.col(c).cast("string").alias(f"text{i}") for i, c in enumerate(text_cols)])
+    s = written_sketches(read.mapInArrow(_hashed(True, len(text_cols)), "h1 bigint, h2 bigint, words string"))
+    hashed = read.mapInArrow(_hashed(False, len(text_cols)), "id bigint, key string, h1 bigint, h2 bigint")
+    member = hashed.join(s.select("t", "h1", "h2"), ["h1", "h2"]).select("id", "t", "key")
     groups = member.groupBy("t", "key").agg(F.count("*").alias("c"))
-    across = pairs.select("t1", "t2").unionByName(_many_keyed(groups).select(F.col("t").alias("t1"), F.col("t").alias("t2")))
-    g1 = groups.select(F.col("t").alias("t1"), F.col("key").alias("key1"))
-    g2 = groups.select(F.col("t").alias("t2"), F.col("key").alias("key2"))
+    twice = groups.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1")
+    across = similar_texts(s).unionByName(twice.select(F.col("t").alias("t1"), F.col("t").alias("t2")))
+    g1, g2 = (groups.select(F.col("t").alias(f"t{i}"), F.col("key").alias(f"key{i}")) for i in (1, 2))
     linked = across.join(g1, "t1").join(g2, "t2").filter((F.col("key1") != F.col("key2")) & ((F.col("t1") != F.col("t2")) | (F.col("key1") < F.col("key2"))))
-    a = member.select(F.col("t").alias("t1"), F.col("key").alias("key1"), F.col("id").alias("a"))
-    b = member.select(F.col("t").alias("t2"), F.col("key").alias("key2"), F.col("id").alias("b"))
+    a, b = (member.select(F.col("t").alias(f"t{i}"), F.col("key").alias(f"key{i}"), F.col("id").alias(x)) for i, x in ((1, "a"), (2, "b")))
     out = linked.join(a, ["t1", "key1"]).join(b, ["t2", "key2"]).filter("a <> b")
     return out.select(F.least("a", "b").alias("observation_id_a"), F.greatest("a", "b").alias("observation_id_b"))
-
-
-def _many_keyed(groups: DataFrame) -> DataFrame:
-    """Texts that stand under two keys or more."""
-    return groups.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1")
