@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.plans import timestamp_queries
+from vacantia.plans import relational_queries, timestamp_queries
 
-MODULES = [timestamp_queries]
+MODULES = [relational_queries, timestamp_queries]
 
 #: The query that `entry` runs.
-FLAGSHIP = "p7_found"
+FLAGSHIP = "overlap_by_source"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
