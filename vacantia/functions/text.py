@@ -59,7 +59,8 @@ def firm_name(value: str) -> str:
 @F.pandas_udf(StringType())
 def firm_names(values: pd.Series) -> pd.Series:
     """`firm_name` over a column; distinct values of a batch are read once."""
-    return values.map({v: firm_name(v) for v in values.dropna().unique()})
+    known = {v: firm_name(v) for v in values.dropna().unique()}
+    return pd.Series([known.get(v) for v in values], dtype=object)
 
 
 def without_legal_forms(folded_name: Column, rounds: int = 2) -> Column:

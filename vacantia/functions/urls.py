@@ -35,7 +35,8 @@ def canonical_url(value: str | None, base: str | None = None) -> str | None:
 
 @F.pandas_udf(StringType())
 def canonical_urls(values: pd.Series) -> pd.Series:
-    return values.map({v: canonical_url(v) for v in values.dropna().unique()})
+    known = {v: canonical_url(v) for v in values.dropna().unique()}
+    return pd.Series([known.get(v) for v in values], dtype=object)
 
 
 @F.pandas_udf(StringType())

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.plans import relational_queries, timestamp_queries
+from vacantia.plans import pipeline_queries, relational_queries, timestamp_queries
 
-MODULES = [relational_queries, timestamp_queries]
+MODULES = [relational_queries, pipeline_queries, timestamp_queries]
 
 #: The query that `entry` runs.
 FLAGSHIP = "overlap_by_source"
