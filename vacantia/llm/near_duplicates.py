@@ -8,7 +8,8 @@ shingles either has.
 2. One Arrow pass over the distinct texts makes each one's sketch: `BANDS` x `ROWS` minimum hashes over its
    whole set of shingles, from them a fingerprint of one bit each, the fingerprint's Hamming distances to
    `PIVOTS` reference fingerprints (the pivot table) and one hash per band. Sketches are written once,
-   bucketed by text, so the joins of steps 4 and 5 move pairs, never sketches.
+   bucketed by text, so the joins of steps 4 and 5 move pairs, never sketches;
+   so are the records' identifiers and keys.
 3. Texts that agree on a band are candidates: one equi-join on the band's hash. (Distances to pivots
    alone order no space of this kind: unrelated texts all lie near the same distance from every pivot.)
 4. By the triangle inequality the largest difference of two rows of the pivot table is at most the
@@ -192,16 +193,20 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def written_sketches(texts: DataFrame) -> DataFrame:
-    """The sketches of (h1, h2, words), written to the shared checkpoint folder bucketed by t."""
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"sketches_{uuid.uuid4().hex}"
-    made = texts.repartition(parts, "h1").mapInArrow(_sketch, _SKETCH)
-    made.write.format("parquet").bucketBy(parts, "t").option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
+def _written(df: DataFrame, parts: int) -> DataFrame:
+    """`df`, whose rows of one t are in one task each, written to the shared checkpoint folder bucketed by t."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(parts, "t").option("compression", "zstd").option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
+def written_sketches(texts: DataFrame) -> DataFrame:
+    """The sketches of (h1, h2, words), written once."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _written(texts.repartition(parts, "h1").mapInArrow(_sketch, _SKETCH), parts)
+
+
 def _distance(i: str, j: str) -> Column:
     words = [F.bit_count(F.col(f"f{k}{i}").bitwiseXOR(F.col(f"f{k}{j}"))) for k in range(_FP)]
     return sum(words[1:], words[0])
@@ -245,13 +250,15 @@ def near_duplicate_pairs(rows: DataFrame, id_col: str, text_cols: list[str], bod
         whole &= F.col(k).isNotNull()
     identifier = F.col(id_col).cast("bigint")
     # a record without a whole key is a key of its own
-    key = F.when(whole, F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key_cols)]))).otherwise(F.concat(F.lit("#"), identifier.cast("string")))
+    parts = [p for k in key_cols for p in (F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string"))]
+    key = F.when(whole, F.concat(*parts)).otherwise(F.concat(F.lit("#"), identifier.cast("string")))
     some = rows.filter(F.col(body_col).rlike(r"[^\s\p{Z}\x{feff}]"))
     read = some.select(identifier.alias("id"), key.alias("key"), *[F.col(c).cast("string").alias(f"text{i}") for i, c in enumerate(text_cols)])
     s = written_sketches(read.mapInArrow(_hashed(True, len(text_cols)), "h1 bigint, h2 bigint, words string"))
     hashed = read.mapInArrow(_hashed(False, len(text_cols)), "id bigint, key string, h1 bigint, h2 bigint")
-    member = hashed.join(s.select("t", "h1", "h2"), ["h1", "h2"]).select("id", "t", "key")
-    groups = member.groupBy("t", "key").agg(F.count("*").alias("c"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    member = _written(hashed.join(s.select("t", "h1", "h2"), ["h1", "h2"]).select("id", "t", "key").repartition(parts, "t"), parts)
+    groups = member.select("t", "key").distinct()
     twice = groups.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1")
     across = similar_texts(s).unionByName(twice.select(F.col("t").alias("t1"), F.col("t").alias("t2")))
     g1, g2 = (groups.select(F.col("t").alias(f"t{i}"), F.col("key").alias(f"key{i}")) for i in (1, 2))
