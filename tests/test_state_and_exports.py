@@ -66,3 +66,18 @@ def test_a_stream_gives_the_view_of_one_batch_and_replays_harmlessly(spark, tmp_
     once = ingest.first_sightings(stream)
     once.writeStream.format("memory").queryName("once").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("once").count() == 7
+
+
+def test_nested_attempts(spark):
+    from vacantia.operators import attempts as at
+
+    page = "page_snapshots: array<struct<url: string, status_code: int>>"
+    rows = [
+        (1, [("u", "source_candidate", "s", False, [("p", 200), ("q", 404)]), ("v", "search", "x", True, [("r", 200)])], [("own", 200)]), (2, [("v", "search", "x", True, []), ("u", "source_candidate", "s", False, [])], []),
+        (3, [("u", "source_candidate", "s", True, None)], None), (4, [], [("own", 200)]), (5, None, [("own", 500)]),
+    ]
+    df = spark.createDataFrame(rows, f"run_id int, attempts: array<struct<url: string, origin: string, source: string, accepted: boolean, {page}>>, {page}".replace("attempts:", "attempts").replace(", page_snapshots:", ", page_snapshots"))
+    assert [tuple(r) for r in at.attempt_metrics(df).collect()] == [("s", 3, 1, 2, 1 / 3)]
+    assert [r.run_id for r in at.search_fallbacks(df).collect()] == [1]
+    assert sorted((r.run_id, r.attempt_index, r.page_index, r.url) for r in at.flat_pages(df).collect() if r.attempt_index is not None) == [(1, 0, 0, "p"), (1, 0, 1, "q"), (1, 1, 0, "r")]
+    assert sorted(r.run_id for r in at.flat_pages(df).collect() if r.attempt_index is None) == [4, 5]

@@ -48,9 +48,14 @@ def website_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "companies").select("id", urls.website_candidates("website_url").alias("c")).select("id", "c.url", "c.host").filter("host is not null")
 
 
+def _table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream of its files. The path is a pattern, as a stream's plain path must be a folder, and a table may be one file."""
+    return ingest.stream_of(spark, f"{sf}/[{name[0]}]{name[1:]}.parquet", table(spark, sf, name).schema)
+
+
 def stream_run_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Runs per source and day from a stream, as they stand when it is drained."""
-    stream = ingest.stream_of(spark, f"{sf}/source_runs.parquet", table(spark, sf, "source_runs").schema)
+    stream = _table_stream(spark, sf, "source_runs")
     name = f"runs_{uuid.uuid4().hex}"
     out = ingest.windowed_runs(stream, late="3650 days")
     out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
@@ -61,7 +66,7 @@ def stream_jobs_current(spark: SparkSession, sf: str) -> DataFrame:
     """The current view over a log that was ingested as a stream."""
     base = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
     source = table(spark, sf, "job_posting_observations")
-    ingest.ingest(ingest.stream_of(spark, f"{sf}/job_posting_observations.parquet", source.schema), f"{base}/log", f"{base}/state")
+    ingest.ingest(_table_stream(spark, sf, "job_posting_observations"), f"{base}/log", f"{base}/state")
     return state.current_postings(spark.read.schema(source.schema).parquet(f"{base}/log"))
 
 

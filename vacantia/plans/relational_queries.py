@@ -268,11 +268,33 @@ def run_windows(spark, sf):
     return table(spark, sf, "source_runs").groupBy("source", F.window("started_at", "1 day").alias("w")).agg(F.count("*").alias("runs"), F.coalesce(F.sum("jobs_seen"), F.lit(0)).alias("jobs_seen")).select("source", F.unix_micros("w.start").alias("day_us"), "runs", "jobs_seen")
 
 
+def leads(spark, sf):
+    """One row per company with a green channel: the surest contact, all of its contacts in order, its posting count and identifiers by kind."""
+    c, k, p = _t(spark, sf, "companies", "contact_channels", "job_postings")
+    green = k.filter("decision = 'green'")
+    rank = F.struct((-F.col("confidence")).alias("c"), "kind", "value")
+    contacts = green.groupBy("company_id").agg(F.min(rank).alias("first"), F.array_sort(F.collect_list(rank)).alias("all"))
+    jobs = p.groupBy("company_id").agg(F.count("*").alias("jobs"), F.array_join(F.array_sort(F.collect_set("source")), " | ").alias("sources"))
+    ids = _identifiers(spark, sf).filter(F.col("kind").isin("nip", "regon", "krs")).groupBy("company_id").pivot("kind", ["nip", "regon", "krs"]).agg(F.min("value"))
+    out = contacts.join(c.select(F.col("id").alias("company_id"), "canonical_name", "city"), "company_id").join(jobs, "company_id", "left").join(ids, "company_id", "left")
+    return out.select(
+        "company_id", "canonical_name", "city", F.col("first.kind").alias("primary_kind"), F.col("first.value").alias("primary_value"), F.array_join(F.transform("all", lambda x: x["value"]), " | ").alias("contacts"),
+        F.coalesce("jobs", F.lit(0)).alias("jobs"), "sources", "nip", "regon", "krs",
+    )
+
+
+def shared_contacts(spark, sf):
+    """Contact values that several companies give, with the first and the number of them."""
+    k = table(spark, sf, "contact_channels")
+    g = k.groupBy("kind", F.lower("value").alias("value")).agg(F.count_distinct("company_id").alias("companies"), F.min("company_id").alias("first_company_id"))
+    return g.filter("companies > 1")
+
+
 QUERIES = {f.__name__: f for f in (
     jobs_current_view, jobs_upsert_stats, source_job_counts, company_aliases_accumulated, company_locations_accumulated, company_list, green_channels, best_channel_per_kind, top3_evidence_hosts,
     identifier_current, identifier_conflicts, identifier_conflicting_rows, identifier_audit, overlap_by_source, overlap_pairwise, overlap_global, source_identity_metrics, resolution_method_stats, source_provenance_metrics,
     source_run_metrics, source_health, downstream_by_source, latest_snapshots, evidence_changes, evidence_hash_check, attempts_first_accepted, benchmark_counts, confidence_bands, contact_confusion, contact_metrics, website_eval,
-    pairwise_resolution_eval, label_status, stratified_sample, sample_allocation, review_block_pairs, url_hosts, emails_in_text, folded_names, run_windows,
+    leads, shared_contacts, pairwise_resolution_eval, label_status, stratified_sample, sample_allocation, review_block_pairs, url_hosts, emails_in_text, folded_names, run_windows,
 )}
 
 _FP = f"""fps AS (SELECT DISTINCT lower(trim(source)) AS source, {legal_sql(fold_sql('company_name_raw'))} || '|' || {fold_sql('title')} || '|' || coalesce({fold_sql('city')}, '') AS fp
@@ -333,6 +355,12 @@ SQL = {
         CASE WHEN last_status IS NULL THEN 'unexercised' WHEN last_status <> 'success' AND regexp_matches(last_message, '\b(401|403|429)\b|robots') THEN 'blocked' WHEN last_status <> 'success' THEN 'failing' WHEN coalesce(last_seen, 0) = 0 THEN 'empty' ELSE 'healthy' END AS state
         FROM portals p LEFT JOIN (SELECT source, count(*) AS runs, count(*) FILTER (WHERE status = 'success') AS successes, count(*) FILTER (WHERE status = 'failed') AS failures, arg_max(status, id) AS last_status, arg_max(coalesce(error_message, ''), id) AS last_message, arg_max(coalesce(jobs_seen, 0), id) AS last_seen, max(started_at) FILTER (WHERE status = 'success') AS last_success_at, arg_max(error_type, id) FILTER (WHERE error_type IS NOT NULL) AS last_error FROM source_runs GROUP BY 1) r USING (source)""",
     "downstream_by_source": "SELECT source, count(*) AS companies, count(*) FILTER (WHERE website_url IS NOT NULL) AS with_site, count(enriched_at) AS enriched, CAST(coalesce(sum(contacts), 0) AS BIGINT) AS contacts, count(*) FILTER (WHERE green > 0) AS with_green FROM (SELECT DISTINCT source, company_id FROM job_postings WHERE company_id IS NOT NULL) p JOIN companies c ON c.id = p.company_id LEFT JOIN (SELECT company_id, count(*) FILTER (WHERE decision = 'green') AS green, count(*) AS contacts FROM contact_channels GROUP BY 1) g ON g.company_id = p.company_id GROUP BY 1",
+    "leads": f"""WITH {_ID}, g AS (SELECT company_id, list({'{'}'v': value, 'k': kind{'}'} ORDER BY confidence DESC, kind, value) AS l FROM contact_channels WHERE decision = 'green' GROUP BY 1),
+        i AS (SELECT company_id, min(value) FILTER (WHERE kind = 'nip') AS nip, min(value) FILTER (WHERE kind = 'regon') AS regon, min(value) FILTER (WHERE kind = 'krs') AS krs FROM cur GROUP BY 1),
+        j AS (SELECT company_id, count(*) AS jobs, string_agg(DISTINCT source, ' | ' ORDER BY source) AS sources FROM job_postings GROUP BY 1)
+        SELECT g.company_id, canonical_name, city, l[1].k AS primary_kind, l[1].v AS primary_value, array_to_string(list_transform(l, lambda x: x.v), ' | ') AS contacts, coalesce(jobs, 0) AS jobs, sources, nip, regon, krs
+        FROM g JOIN companies c ON c.id = g.company_id LEFT JOIN j ON j.company_id = g.company_id LEFT JOIN i ON i.company_id = g.company_id""",
+    "shared_contacts": "SELECT kind, lower(value) AS value, count(DISTINCT company_id) AS companies, min(company_id) AS first_company_id FROM contact_channels GROUP BY 1, 2 HAVING count(DISTINCT company_id) > 1",
     "latest_snapshots": "SELECT contact_channel_id, id, company_id, content_sha256, captured_at FROM (SELECT *, row_number() OVER (PARTITION BY contact_channel_id ORDER BY id DESC) AS rn FROM contact_evidence_snapshots) WHERE rn = 1",
     "evidence_changes": "SELECT id, contact_channel_id, content_sha256, lag(content_sha256) OVER w AS previous, coalesce(lag(content_sha256) OVER w <> content_sha256, false) AS changed FROM contact_evidence_snapshots WINDOW w AS (PARTITION BY contact_channel_id ORDER BY id)",
     "evidence_hash_check": "SELECT id, sha256(evidence_text) AS sha256, coalesce(sha256(evidence_text) = content_sha256, false) AS same FROM contact_evidence_snapshots",

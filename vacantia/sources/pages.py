@@ -42,6 +42,9 @@ PORTALS = {p.name: p for p in (
     Portal("nofluffjobs", "https://nofluffjobs.com", "https://nofluffjobs.com/pl/poland", (r"^/pl/job/",), ("a[href*='/company/']",), most_links=30),
     Portal("bulldogjob", "https://bulldogjob.pl", "https://bulldogjob.pl/companies/jobs", (r"^/companies/jobs/\d+-",), ("a[href*='/companies/profiles/']", "[class*='company-name']"), ("[class*='location']",), most_links=100),
     Portal("justjoinit", "https://justjoin.it", "https://justjoin.it/job-offers/all-locations", (r"^/job-offer/",), ("a[href*='/company/']", "a[href*='/companies/']")),
+    Portal("rocketjobs", "https://rocketjobs.pl", "https://rocketjobs.pl/", (r"^/oferta-pracy/",), ("a[href*='/brands/story/']", "[data-testid*='company']", ".company-name")),
+    Portal("karierawfinansach", "https://www.karierawfinansach.pl", "https://www.karierawfinansach.pl/", (r"^/oferta-pracy/\d+",), ("a[href*='/pracodawca/']", ".company-name"), description=("main", "article", ".offer-content")),
+    Portal("skillshot", "https://www.skillshot.pl", "https://www.skillshot.pl/jobs?page={page}", (r"^/jobs/\d+-",), ("a[href*='/users/']",), description=("main", "article", ".job-description"), most_links=40),
     Portal("theprotocol", "https://theprotocol.it", "https://theprotocol.it/praca?pageNumber={page}", (r"^/praca/.+,oferta,", r"^/szczegoly/praca/.+,oferta,"), ("a[href*='/firmy/']", "[data-testid*='company']", ".company-name"), ("[data-testid*='location']", ".location")),
 )}
 
