@@ -70,6 +70,19 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 SQL = {
+    "p2_found": r"""
+        WITH o AS (
+            SELECT id, source, source_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || description), '[\p{L}\p{N}]+') AS w
+            FROM job_posting_observations WHERE description IS NOT NULL AND regexp_matches(description, '\S')),
+        n AS (SELECT w, row_number() OVER () AS t FROM (SELECT DISTINCT w FROM o)),
+        s AS (SELECT DISTINCT t, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT t, w, unnest(range(1, len(w) - 1)) AS i FROM n)),
+        c AS (SELECT t, count(*) AS k FROM s GROUP BY 1),
+        p AS (SELECT a.t AS t1, b.t AS t2, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.t < b.t GROUP BY 1, 2),
+        m AS (SELECT t1, t2 FROM p JOIN c x ON x.t = t1 JOIN c y ON y.t = t2 WHERE 10 * p.k >= 6 * (x.k + y.k - p.k) UNION ALL SELECT t, t FROM c),
+        r AS (SELECT id, source, source_id, t FROM o JOIN n USING (w))
+        SELECT least(a.id, b.id) AS observation_id_a, greatest(a.id, b.id) AS observation_id_b
+        FROM m JOIN r a ON a.t = t1 JOIN r b ON b.t = t2 AND (t1 <> t2 OR a.id < b.id)
+        WHERE NOT coalesce(a.source = b.source AND a.source_id = b.source_id, false)""",
     "p3_found": r"""
         WITH RECURSIVE digits AS (
             SELECT company_id, lower(trim(kind)) AS k, value, regexp_replace(value, '[^0-9]', '', 'g') AS d
