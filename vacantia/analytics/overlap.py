@@ -17,8 +17,9 @@ def fingerprint(firm: Column, title: Column, city: Column) -> Column:
 
 def source_fingerprints(postings: DataFrame) -> DataFrame:
     """Distinct (source, fp), sources in lower case."""
-    fp = postings.select(F.lower(F.trim("source")).alias("source"), fingerprint(F.col("company_name_raw"), F.col("title"), F.col("city")).alias("fp"))
-    return fp.filter("source is not null and fp is not null").distinct()
+    # distinct before the filter: the filter then reads the grouped values, and nothing is normalised twice
+    fp = postings.select(F.lower(F.trim("source")).alias("source"), fingerprint(F.col("company_name_raw"), F.col("title"), F.col("city")).alias("fp")).groupBy("source", "fp").agg(F.count("*").alias("n"))
+    return fp.filter("n > 0 and source is not null and fp is not null").select("source", "fp")
 
 
 def by_source(fps: DataFrame) -> DataFrame:

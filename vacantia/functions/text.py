@@ -63,13 +63,15 @@ def firm_names(values: pd.Series) -> pd.Series:
     return pd.Series([known.get(v) for v in values], dtype=object)
 
 
+#: All legal forms as one pattern of whole words.
+LEGAL_PATTERN = r"\b(?:" + "|".join(LEGAL_FORMS) + r")\b"
+
+
 def without_legal_forms(folded_name: Column, rounds: int = 2) -> Column:
-    """Native form of `firm_name` for folded names: `rounds` passes over all forms."""
+    """Native form of `firm_name` for folded names: `rounds` passes of one pattern."""
     out = folded_name
     for _ in range(rounds):
-        for p in LEGAL_FORMS:
-            out = F.regexp_replace(out, rf"\b{p}\b", " ")
-        out = F.trim(F.regexp_replace(out, r"\s+", " "))
+        out = F.trim(F.regexp_replace(F.regexp_replace(out, LEGAL_PATTERN, " "), r"\s+", " "))
     return out
 
 

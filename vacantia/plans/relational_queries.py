@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacantia.analytics import overlap, sources
 from vacantia.evaluation import metrics, sampling
 from vacantia.functions import identifiers, urls
-from vacantia.functions.text import folded, without_legal_forms
+from vacantia.functions.text import LEGAL_PATTERN, folded, without_legal_forms
 from vacantia.operators import state
 from vacantia.plans.tables import table
 
@@ -25,14 +25,9 @@ def host_sql(column: str) -> str:
 
 
 def legal_sql(expression: str, rounds: int = 2) -> str:
-    from vacantia.functions.text import LEGAL_FORMS
-
-    out = expression
     for _ in range(rounds):
-        for p in LEGAL_FORMS:
-            out = f"regexp_replace({out}, '\\b{p}\\b', ' ', 'g')"
-        out = f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
-    return out
+        expression = f"trim(regexp_replace(regexp_replace({expression}, '{LEGAL_PATTERN}', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return expression
 
 
 def _t(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:

@@ -69,7 +69,9 @@ def fold_signs(text: str) -> str:
 
 
 _COMPILED = {r: re.compile(any_pattern(r.any_of)) for rules in _RULES.values() for r in rules if r.any_of}
-_ANY_DISCOVERY = re.compile(any_pattern(_DISCOVERY))
+#: The first words of each rule's phrases: none of them in a text, no phrase in it.
+_FIRST = {r: tuple({w.split()[0] for w in r.any_of}) for r in _COMPILED}
+_ANY_DISCOVERY, _FIRST_DISCOVERY = re.compile(any_pattern(_DISCOVERY)), tuple({w.split()[0] for w in _DISCOVERY})
 
 
 def mailbox_purpose(value: str) -> tuple[str, str] | None:
@@ -94,24 +96,32 @@ def classify(context: str, value: str = "", form: bool = False) -> tuple[str, st
             if r.also == "mailbox":
                 if box:
                     return box[0], r.decision, r.confidence, f"localpart:{box[1]}"
-            elif _COMPILED[r].search(text) and (not r.also or path or (r.also.startswith("partner") and bool(box) and box[0] == "business_partnership")):
+            elif any(w in text for w in _FIRST[r]) and _COMPILED[r].search(text) and (not r.also or path or (r.also.startswith("partner") and bool(box) and box[0] == "business_partnership")):
                 return r.purpose, r.decision, r.confidence, r.signal
     return OTHERWISE
 
 
 def has_discovery_signal(text: str) -> bool:
-    return _ANY_DISCOVERY.search(fold_signs(text)) is not None
+    folded = fold_signs(text)
+    return any(w in folded for w in _FIRST_DISCOVERY) and _ANY_DISCOVERY.search(folded) is not None
 
 
 def classified(context: Column, value: Column, form: bool = False) -> Column:
-    """`classify` as a struct column of native expressions (purpose, decision, confidence, signal)."""
+    """`classify` as a struct column of native expressions (purpose, decision, confidence, signal).
+
+    The folded text is bound once by a lambda, so the rules search it without folding it again.
+    """
     text = F.concat_ws(" ", context, value)
     text = F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), FOLD_FROM, FOLD_TO), r"\p{M}+", ""), r"\s+", " "))
     name = F.regexp_extract(F.translate(F.lower(F.coalesce(value, F.lit(""))), FOLD_FROM, FOLD_TO), "^([^@]*)@", 1)
     parts = F.filter(F.transform(F.concat(F.array(name), F.split(name, r"[._+\-\s]+")), lambda p: F.regexp_replace(p, "[^a-z0-9]", "")), lambda p: p.isin(*_MAILBOX))
-    boxes = F.create_map(*[F.lit(x) for pair in _MAILBOX.items() for x in pair])
-    word = F.try_element_at(parts, F.lit(1))
-    box = F.try_element_at(boxes, word)
+    bound = F.array(F.struct(text.alias("text"), F.try_element_at(parts, F.lit(1)).alias("word")))
+    return F.transform(bound, lambda x: _decided(x["text"], x["word"], form))[0]
+
+
+def _decided(text: Column, word: Column, form: bool) -> Column:
+    """The first rule that holds for a folded text and a mailbox word (NULL for none)."""
+    box = F.try_element_at(F.create_map(*[F.lit(x) for pair in _MAILBOX.items() for x in pair]), word)
     path = text.rlike("|".join(map(re.escape, ph.PATHS_FOR_FIRMS)))
 
     def made(purpose: Column, decision: str, confidence: float, signal: Column) -> Column:
@@ -121,7 +131,7 @@ def classified(context: Column, value: Column, form: bool = False) -> Column:
     for kind in FORM_ORDER if form else CONTEXT_ORDER:
         for r in _RULES[kind]:
             if r.also == "mailbox":
-                out = out.when(box.isNotNull(), made(box, r.decision, r.confidence, F.concat(F.lit("localpart:"), word)))
+                out = out.when(word.isNotNull(), made(box, r.decision, r.confidence, F.concat(F.lit("localpart:"), word)))
                 continue
             fits = text.rlike("(?U)" + any_pattern(r.any_of))
             if r.also:
