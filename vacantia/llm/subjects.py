@@ -31,7 +31,7 @@ BUCKETS = 1 << 15
 BACKGROUND = 6
 STEM = 7
 ALPHA, ETA = 0.1, 0.02
-ROUNDS, INNER = 4, 12
+ROUNDS, INNER = 3, 8
 #: Most labelled samples that the start is made of.
 MAX_SAMPLES = 20_000
 #: Top terms by which a topic is mapped, and the part of them that must come from one subject.
@@ -39,6 +39,8 @@ TOP_TERMS, TOP_SHARE = 60, 0.35
 SENTENCES, STEMS, SHARE = 2, 4, 0.6
 #: Least part of a sentence's weight, and least weight in words, that makes it one of a subject.
 SENTENCE_SHARE, SENTENCE_WORDS = 0.25, 1.2
+#: Distinct words whose buckets a task keeps.
+KEPT_WORDS = 500_000
 #: Words of documents that are inferred at once.
 SLICE_WORDS = 150_000
 
@@ -48,14 +50,23 @@ _SENTENCE = re.compile(r"(?<=[.!?\u2026])[\s\u00a0]+|[\n\r\u2028\u2029\u2022]+|<
 _HIDDEN = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 
 
+class _Buckets(dict):
+    """Buckets of the words a task has met."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        self[word] = b = zlib.crc32(word[:STEM].encode()) % BUCKETS
+        return b
+
+
+_BUCKET_OF = _Buckets()
+
+
 def sentences(text: str | None) -> list[list[int]]:
     """The buckets of the word stems of each sentence that has any."""
-    out = []
-    for s in _SENTENCE.split(_HIDDEN.sub("", text or "")):
-        w = [zlib.crc32(x[:STEM].encode()) % BUCKETS for x in _WORD.findall(s.lower())]
-        if w:
-            out.append(w)
-    return out
+    look, words = _BUCKET_OF.__getitem__, _WORD.findall
+    return [w for s in _SENTENCE.split(_HIDDEN.sub("", (text or "").lower())) if (w := list(map(look, words(s))))]
 
 
 def _bags(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,27 +176,27 @@ def fit(bags: DataFrame, samples: list[tuple[str, str]], subjects: list[str], ro
     return topics(counts)
 
 
-def assign(words: np.ndarray, lengths: list[int], r: np.ndarray, subject_of: list[int], n: int) -> list[int]:
-    """The subjects of one document from its words' responsibilities `r`."""
-    lengths = np.asarray(lengths)
-    of_word = np.zeros((len(words), n), np.float32)
+def assign(words: np.ndarray, owner: np.ndarray, lengths: np.ndarray, r: np.ndarray, subject_of: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, subjects) from the responsibilities `r` of all documents' words; `lengths` are those of their sentences."""
+    to_subject = np.zeros((r.shape[1], n), np.float32)
     for k, s in enumerate(subject_of):
         if s >= 0:
-            of_word[:, s] += r[:, k]
+            to_subject[k, s] = 1
+    of_word = r @ to_subject
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     about = np.add.reduceat(of_word, starts, axis=0)
     best = about.argmax(axis=1)
     top = about[np.arange(len(lengths)), best]
     clear = (top >= SENTENCE_WORDS) & (top >= SENTENCE_SHARE * lengths)
-    found = np.bincount(best[clear], minlength=n)
-    total = found.sum()
-    out = []
-    for s in np.flatnonzero(found):
-        inside = np.repeat(clear & (best == s), lengths) & (of_word[:, s] >= 0.5)
-        stems = len(np.unique(words[inside]))
-        if (found[s] >= SENTENCES and stems >= STEMS) or found[s] >= SHARE * total:
-            out.append(int(s))
-    return out
+    docs = int(owner[-1]) + 1
+    found = np.bincount(owner[starts][clear] * n + best[clear], minlength=docs * n).reshape(docs, n)
+    # different stems of the subject within its sentences
+    subject = np.repeat(np.where(clear, best, 0), lengths)
+    inside = np.repeat(clear, lengths) & (of_word[np.arange(len(words)), subject] >= 0.5)
+    kinds = np.unique((owner[inside] * n + subject[inside]) * BUCKETS + words[inside])
+    stems = np.bincount(kinds // BUCKETS, minlength=docs * n).reshape(docs, n)
+    given = ((found >= SENTENCES) & (stems >= STEMS)) | ((found > 0) & (found >= SHARE * found.sum(axis=1, keepdims=True)))
+    return np.nonzero(given)
 
 
 def document_subjects(documents: DataFrame, areas: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -208,16 +219,13 @@ def document_subjects(documents: DataFrame, areas: DataFrame, samples: DataFrame
     def label(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, subject_of = shared.value
         for f in frames:
-            ids, names = [], []
+            ids, names = [np.empty(0, np.int64)], []
             for part, words, owner in _batches(f):
                 r = infer(words, owner, len(part), weights)[1]
-                lo = 0
-                for i in part:
-                    w, lengths = np.asarray(f["words"].iloc[i]), f["lengths"].iloc[i]
-                    for s in assign(w, lengths, r[lo : lo + len(w)], subject_of, len(subjects)):
-                        ids.append(f["doc_id"].iloc[i])
-                        names.append(subjects[s])
-                    lo += len(w)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "subject": pd.Series(names, dtype=object)})
+                lengths = np.concatenate([np.asarray(x, np.int64) for x in f["lengths"].iloc[part]])
+                doc, subject = assign(words, owner, lengths, r, subject_of, len(subjects))
+                ids.append(f["doc_id"].to_numpy()[part[doc]])
+                names += [subjects[s] for s in subject]
+            yield pd.DataFrame({"doc_id": np.concatenate(ids), "subject": pd.Series(names, dtype=object)})
 
     return bags.mapInPandas(label, schema)
