@@ -34,6 +34,8 @@ ALPHA, ETA = 0.1, 0.02
 ROUNDS, INNER = 3, 8
 #: Most labelled samples that the start is made of.
 MAX_SAMPLES = 20_000
+#: Most subjects; each is a topic of the matrix that the driver holds.
+MAX_SUBJECTS = 1_000
 #: Top terms by which a topic is mapped, and the part of them that must come from one subject.
 TOP_TERMS, TOP_SHARE = 60, 0.35
 SENTENCES, STEMS, SHARE = 2, 4, 0.6
@@ -206,7 +208,9 @@ def document_subjects(documents: DataFrame, areas: DataFrame, samples: DataFrame
     length count whole; repeated rows give repeated rows; other columns are ignored. Empty areas or
     samples, or no documents, give no rows.
     """
-    subjects = sorted(r[0] for r in areas.select("subject").dropna().distinct().limit(1000).collect())
+    subjects = sorted(r[0] for r in areas.select("subject").dropna().distinct().limit(MAX_SUBJECTS + 1).collect())
+    if len(subjects) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     labelled = sorted(tuple(r) for r in samples.select("subject", "text").dropna().orderBy("sample_id").limit(MAX_SAMPLES).collect())
     bags = cut(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").mapInPandas(_bags, "doc_id bigint, words array<int>, lengths array<int>"))
     schema = "doc_id bigint, subject string"
