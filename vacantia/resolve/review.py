@@ -1,9 +1,9 @@
 """Pairs of firms that a person should look at: blocked, scored, never merged.
 
-Firms meet under keys of their names (words, first and last letters) and confirmed websites. A key
-under which more than `BLOCK` firms stand is refined by its firms' cities, and then by the first
-letters of their names, so a common word makes no quadratic block. Pairs that share nothing but such a
-word, neither city nor first letters nor another key, are not proposed.
+Firms meet under keys of their names (words, first and last letters) and confirmed websites. All pairs
+of a key are proposed; a key under which more than `BLOCK` firms stand is dealt to several tasks. Before
+names are compared, pairs are left out whose score couldn't reach the least one with the best name
+similarity that their lengths allow.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.resolve.decide import is_distinctive
@@ -34,12 +34,13 @@ def keys_of(firms: DataFrame) -> DataFrame:
 
 def blocked_pairs(firms: DataFrame, block: int = BLOCK) -> DataFrame:
     """id_a < id_b of firms that share a key, each pair once."""
-    k = keys_of(firms)
-    for finer in ("city", "start"):
-        sizes = k.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-        k = k.join(sizes, "key", "left").withColumn("key", F.when(F.col("n").isNull(), F.col("key")).otherwise(F.concat_ws("|", "key", finer))).drop("n")
-    a, b = k.alias("a"), k.alias("b")
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    k = keys_of(firms).select("id", "key").distinct()
+    parts = k.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    k = k.join(parts, "key")
+    a = k.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("a")
+    b = k.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id"))
+    return a.join(b, on).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
 
 
 def scored_pairs(firms: DataFrame, pairs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -54,14 +55,22 @@ def scored_pairs(firms: DataFrame, pairs: DataFrame, least: float = LEAST) -> Da
     cols = ["name", "city", "website_url", "website_confidence", "confidence"]
     a, b = (firms.select(F.col("id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
     j = pairs.join(a, "id_a").join(b, "id_b")
-    ratio = j.select("id_a", "id_b", "name_a", "name_b").mapInPandas(run, "id_a bigint, id_b bigint, name_similarity double, weak boolean")
     wa, wb = F.split("name_a", " "), F.split("name_b", " ")
-    j = j.join(ratio, ["id_a", "id_b"]).withColumn("token_similarity", F.size(F.array_intersect(wa, wb)) / F.size(F.array_union(wa, wb)))
+    j = j.withColumn("token_similarity", F.size(F.array_intersect(wa, wb)) / F.size(F.array_union(wa, wb)))
     place = F.coalesce(F.col("city_a") == F.col("city_b"), F.lit(False))
     site = F.coalesce((host_of(F.col("website_url_a")) == host_of(F.col("website_url_b"))) & (F.col("website_confidence_a") >= SURE_SITE) & (F.col("website_confidence_b") >= SURE_SITE), F.lit(False))
-    base = 0.72 * F.col("name_similarity") + 0.28 * F.col("token_similarity") + F.when(place, 0.04).otherwise(0.0)
-    base = F.when(site, F.greatest(base + 0.15, F.lit(0.9))).otherwise(base)
     sure = F.coalesce((F.col("confidence_a") >= SURE_IDENTITY) & (F.col("confidence_b") >= SURE_IDENTITY), F.lit(False))
-    base = base + F.when(sure, 0.02).otherwise(0.0) - F.when(F.col("weak"), 0.08).otherwise(0.0)
-    out = j.withColumn("score", F.least(F.greatest(base, F.lit(0.0)), F.lit(1.0))).filter(F.col("score") >= least)
-    return out.select("id_a", "id_b", "score", "name_similarity", "token_similarity", place.alias("same_place"), site.alias("same_website"))
+    j = j.withColumn("same_place", place).withColumn("same_website", site).withColumn("sure", sure)
+
+    def score(name: Column, weak: Column) -> Column:
+        base = 0.72 * name + 0.28 * F.col("token_similarity") + F.when(F.col("same_place"), 0.04).otherwise(0.0)
+        base = F.when(F.col("same_website"), F.greatest(base + 0.15, F.lit(0.9))).otherwise(base)
+        base = base + F.when(F.col("sure"), 0.02).otherwise(0.0) - F.when(weak, 0.08).otherwise(0.0)
+        return F.least(F.greatest(base, F.lit(0.0)), F.lit(1.0))
+
+    la, lb = F.length("name_a"), F.length("name_b")
+    most = F.when(la + lb > 0, 2.0 * F.least(la, lb) / (la + lb)).otherwise(1.0)
+    j = j.filter(score(most, F.lit(False)) >= least - 1e-9)
+    ratio = j.select("id_a", "id_b", "name_a", "name_b").mapInPandas(run, "id_a bigint, id_b bigint, name_similarity double, weak boolean")
+    out = j.join(ratio, ["id_a", "id_b"]).withColumn("score", score(F.col("name_similarity"), F.col("weak"))).filter(F.col("score") >= least)
+    return out.select("id_a", "id_b", "score", "name_similarity", "token_similarity", "same_place", "same_website")
