@@ -46,6 +46,26 @@ def test_review_pairs(spark):
     assert (0, 1) in got and got[0, 1].same_website and got[0, 1].score >= 0.9 and (2, 5) not in got
 
 
+def test_large_keys_keep_all_pairs(spark):
+    names = [f"acme {w}" for w in ("budowa", "budowy", "budowa")] + [f"{w} acme" for w in ("zeta", "dolny", "wielki", "maly")] + ["beta"]
+    rows = [(i, n, f"miasto{i}", None, None, 0.9) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "id bigint, name string, city string, website_url string, website_confidence double, confidence double")
+    whole = sorted(map(tuple, review.blocked_pairs(df).collect()))
+    assert whole == sorted(combinations(range(7), 2))
+    assert sorted(map(tuple, review.blocked_pairs(df, block=1).collect())) == sorted(map(tuple, review.blocked_pairs(df, block=2).collect())) == whole
+    scored = {(r.id_a, r.id_b): r.score for r in review.scored_pairs(df, review.blocked_pairs(df, block=2)).collect()}
+    assert scored[0, 2] == 1.0 and (0, 3) not in scored
+
+
+def test_review_queries_keep_frequent_words_of_any_city(spark, tmp_path):
+    from vacantia.plans import relational_queries as rq
+
+    rows = [(i, "hurtownia kowalex", f"miasto{i}", None, 0.0, 0.9) for i in range(30)]
+    spark.createDataFrame(rows, "id bigint, normalized_name string, normalized_city string, website_url string, website_confidence double, identity_confidence double").write.parquet(str(tmp_path / "companies.parquet"))
+    assert rq.QUERIES["review_all_block_pairs"](spark, str(tmp_path)).count() == 30 * 29 // 2
+    assert rq.QUERIES["review_scored_pairs"](spark, str(tmp_path)).count() == 30 * 29 // 2
+
+
 def test_embedded_state():
     ads = [{"id": 1, "title": "T", "url": "/d/1", "companyName": "C", "location": {"pathName": "Łódź, PL"}, "description": "a<br>b &amp; c"}, {"id": 1, "title": "T", "url": "/d/1"}, {"id": 2, "title": "T", "url": "/d/2"}, {"id": 3}]
     state = json.dumps(json.dumps({"listing": {"listing": {"ads": ads}}}))

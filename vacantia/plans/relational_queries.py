@@ -10,6 +10,7 @@ from vacantia.evaluation import metrics, sampling
 from vacantia.functions import identifiers, urls
 from vacantia.functions.text import LEGAL_PATTERN, folded, without_legal_forms
 from vacantia.operators import state
+from vacantia.resolve import review
 from vacantia.plans.tables import table
 
 _FOLD = "trim(regexp_replace(regexp_replace(strip_accents(replace(lower(trim({0})), 'ł', 'l')), '\\p{{M}}+', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
@@ -243,6 +244,23 @@ def review_block_pairs(spark, sf):
     return a.join(b, on).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
 
 
+def _firms(spark, sf):
+    c = table(spark, sf, "companies").filter("normalized_name is not null")
+    sure = [F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double")).alias(y) for x, y in (("website_confidence", "website_confidence"), ("identity_confidence", "confidence"))]
+    return c.select("id", F.col("normalized_name").alias("name"), F.col("normalized_city").alias("city"), "website_url", *sure)
+
+
+def review_all_block_pairs(spark, sf):
+    """Pairs of companies that share a word of 4 letters, first or last letters or a sure website, in any city."""
+    return review.blocked_pairs(_firms(spark, sf))
+
+
+def review_scored_pairs(spark, sf):
+    """Those pairs that score high enough for a person to look at."""
+    firms = _firms(spark, sf)
+    return review.scored_pairs(firms, review.blocked_pairs(firms))
+
+
 def url_hosts(spark, sf):
     return table(spark, sf, "job_postings").groupBy(urls.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("postings"))
 
@@ -289,7 +307,7 @@ QUERIES = {f.__name__: f for f in (
     jobs_current_view, jobs_upsert_stats, source_job_counts, company_aliases_accumulated, company_locations_accumulated, company_list, green_channels, best_channel_per_kind, top3_evidence_hosts,
     identifier_current, identifier_conflicts, identifier_conflicting_rows, identifier_audit, overlap_by_source, overlap_pairwise, overlap_global, source_identity_metrics, resolution_method_stats, source_provenance_metrics,
     source_run_metrics, source_health, downstream_by_source, latest_snapshots, evidence_changes, evidence_hash_check, attempts_first_accepted, benchmark_counts, confidence_bands, contact_confusion, contact_metrics, website_eval,
-    leads, shared_contacts, pairwise_resolution_eval, label_status, stratified_sample, sample_allocation, review_block_pairs, url_hosts, emails_in_text, folded_names, run_windows,
+    leads, shared_contacts, pairwise_resolution_eval, label_status, stratified_sample, sample_allocation, review_block_pairs, review_all_block_pairs, review_scored_pairs, url_hosts, emails_in_text, folded_names, run_windows,
 )}
 
 _FP = f"""fps AS (SELECT DISTINCT lower(trim(source)) AS source, {legal_sql(fold_sql('company_name_raw'))} || '|' || {fold_sql('title')} || '|' || coalesce({fold_sql('city')}, '') AS fp
