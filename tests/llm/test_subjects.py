@@ -33,6 +33,16 @@ def test_inference_is_the_fixed_point_of_each_document():
         assert np.allclose(theta[d], t, atol=1e-4) and np.allclose(r[owner == d], q, atol=1e-4)
 
 
+def test_inference_runs_until_proportions_stand():
+    rng = np.random.default_rng(3)
+    weights = rng.dirichlet(np.full(200, 0.3), 6).T.astype(np.float32) + np.float32(1e-6)
+    words = np.concatenate([rng.choice(200, 60, p=weights[:, k] / weights[:, k].sum()) for k in (0, 1, 2, 3, 4, 5, 0, 1, 2, 3)])
+    owner = np.repeat(np.arange(5), 120)
+    done = sj.infer(words, owner, 5, weights, inner=200)[0]
+    assert sj.ROUNDS >= 4 and sj.INNER >= 12
+    assert np.abs(sj.infer(words, owner, 5, weights)[0] - done).max() <= np.abs(sj.infer(words, owner, 5, weights, inner=8)[0] - done).max() <= 0.2
+
+
 def test_mapping_by_top_terms():
     samples = [("a", "alfa beta gamma delta"), ("a", "alfa beta gamma delta"), ("b", "jeden dwa trzy cztery"), ("b", "jeden dwa trzy cztery")]
     weights = np.full((sj.BUCKETS, 3), 1e-6)
