@@ -41,6 +41,16 @@ def test_residue_in_long_texts(spark):
     assert found(frame(spark, [real, real + " Zapraszamy do {{ nazwa_firmy }}.", real + REAL[0], REAL[0] + " Oferta {{ opis }} czeka."])) == [1, 3]
 
 
+def test_long_responses_and_filler(spark):
+    menu = "Menu: oferty, firmy, kontakt, regulamin, polityka prywatności. " * 12
+    lorem = FOUND[-1] + " " + "Elitra magnor fugitam tempro ampera pelluca quorem tristique. " * 20
+    trace = "Traceback (most recent call last): " + "File offer.py line 9 in render value missing. " * 15
+    real = "Ups! To nie pomyłka, szukamy ludzi do hali. " + "Zapewniamy odzież i posiłek, a w sezonie premię. " * 12
+    check = "Sprawdzamy, czy kandydat bezpiecznie łączy się z siecią zakładu. Zapewniamy odzież i posiłek. " + "Nadgodziny są płatne, a szkolenie trwa dwa dni. " * 6
+    assert found(frame(spark, [check])) == []
+    assert found(frame(spark, ["Access denied. Incident 9cdc4a9. " + menu, lorem, trace, real])) == [0, 1, 2]
+
+
 def test_pages_served_under_many_titles(spark):
     same = ["Odczekaj chwilę, wracamy niebawem, kod 4a7" for _ in range(20)]
     assert found(frame(spark, same)) == list(range(20))

@@ -3,8 +3,8 @@
 Four detectors look at a record; everything is native column expressions over whole texts:
 
 * placeholders of template languages, outside sentences that speak of templates;
-* responses: short texts that open with a message of a server, a gate, a crashed program or a
-  script notice, in the languages of the corpus;
+* responses: texts that open with a message of a server, a gate, a crashed program or a
+  script notice, in the languages of the corpus; longer ones only if they hold no term of title or slug and no real content;
 * filler: running text without one function word of any of the languages, or whose words hardly
   change, that shares no term with title or address;
 * host evidence: a short text with no term of its title or address slug, whose masked form stands
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most words of a text that can be a response.
+#: Most words of a text that is a response by its opening alone.
 RESPONSE_WORDS = 40
 #: Different titles and hosts that one masked form must stand under to count as served in their place.
 LEAST_TITLES, LEAST_HOSTS, FORM_WORDS = 6, 3, 20
@@ -76,6 +76,14 @@ FUNCTION_WORDS = (
     " та і в у на з для до що як або за ми не про від під є й по над"
 ).split()
 
+# Stems of what adverts and firms say of work; a long text with `CONTENT_STEMS` of them is real content.
+CONTENT = (
+    "zapewniamy oferujemy wymagamy szukamy kandydat stanowisk zespo załog pracown umow wynagrodz premi doświadcz zatrudn zmianow kwalifik szkoleni nadgodzin orzeczeni wdrożeni atut"
+    " candidate salary team experience shift benefit employ requirement training overtime bewerb gehalt erfahrung mitarbeit schicht schulung überstunden"
+    " кандидат зарплат досвід команд працівник навчання вимог"
+).split()
+CONTENT_STEMS = 3
+
 
 def words(text: Column) -> Column:
     """Runs of letters and digits in lower case, as an array; empty for NULL."""
@@ -89,10 +97,13 @@ def has_placeholder(text: Column) -> Column:
     return F.when(hint, F.when(text.rlike("(?iU)" + TALK), spoken).otherwise(text).rlike("|".join(PLACEHOLDERS))).otherwise(False)
 
 
-def is_response(text: Column, count: Column) -> Column:
-    """Whether a text of `count` words opens like a response."""
+def is_response(text: Column, count: Column, context: Column) -> Column:
+    """Whether a text of `count` words opens like a response, and a longer one holds no word with the start of one of `context` and no real content."""
     opening = "|".join(p.replace(r"\1", rf"\{n}") for p, n in zip([p for ps in RESPONSES.values() for p in ps], _backreferences()))
-    return F.when(count <= RESPONSE_WORDS, text.rlike(r"(?iU)^[\s\p{Z}\"„'*#>-]*(?:" + opening + ")")).otherwise(False)
+    starts = lambda ws: F.transform(ws, lambda w: F.substring(w, 1, 5))
+    opens = text.rlike(r"(?iU)^[\s\p{Z}\"„'*#>-]*(?:" + opening + ")")
+    real = F.size(F.filter(F.array(*[F.lit(x) for x in CONTENT]), lambda x: F.contains(F.lower(text), x))) >= CONTENT_STEMS
+    return F.when(~opens, False).when(count <= RESPONSE_WORDS, True).when(real, False).otherwise(~F.arrays_overlap(starts(words(text)), starts(context)))
 
 
 def _backreferences() -> list[int]:
@@ -131,12 +142,12 @@ def residue(records: DataFrame, id_col: str, text_col: str, url_col: str, title_
     t = records.filter(F.regexp_replace(text, r"[\s\p{Z}\x{feff}]+", "") != "").select(
         F.col(id_col).cast("bigint").alias("record_id"), text.alias("_text"), F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]+)", 1)).alias("_host"), F.lower(title).alias("_title"), slug.alias("_slug")
     )
-    # What is needed of long texts is decided within the scan; only short texts are masked and joined.
+    # Responses and filler of any length are decided within the scan; only short texts are masked and joined.
     t = t.withColumn("_n", F.size(F.split(F.trim("_text"), r"\s+")))
-    t = t.withColumn("_w", F.when(F.col("_n") <= 60, words(F.col("_text"))))
+    t = t.withColumn("_w", words(F.col("_text")))
     context = F.filter(words(F.concat_ws(" ", "_title", "_slug")), lambda x: F.length(x) > 3)
-    t = t.withColumn("_terms", F.when(F.col("_n") <= 60, context))
-    own = has_placeholder(F.col("_text")) | is_response(F.col("_text"), F.col("_n")) | F.coalesce(is_filler(F.col("_w"), F.col("_terms")), F.lit(False))
+    t = t.withColumn("_terms", context)
+    own = has_placeholder(F.col("_text")) | is_response(F.col("_text"), F.col("_n"), F.col("_terms")) | F.coalesce(is_filler(F.col("_w"), F.col("_terms")), F.lit(False))
     t = t.withColumn("_own", own)
     if title_col is None:
         return t.filter("_own").select("record_id")
