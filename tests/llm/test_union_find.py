@@ -67,6 +67,27 @@ def test_tied_groups_with_one_hot_key(spark, per_task):
     assert got == want
 
 
+@pytest.mark.parametrize("per_task", [1_000_000, 300])
+def test_keys_over_many_chunks_of_one_partition(spark, monkeypatch, per_task):
+    """Each key on two records that no task and no chunk holds both of."""
+    monkeypatch.setattr(union_find, "CHUNK", 50)
+    n = 1500
+    rows = [(i, f"k{i}") for i in range(n)] + [(n + i, f"k{(i * 7919) % n}") for i in range(n)]
+    df = spark.createDataFrame(rows, "r bigint, key string").coalesce(1)
+    got = {r.node: r.group_id for r in union_find.tied_groups(df, F.col("r"), F.col("key"), per_task).collect()}
+    assert got == {**{i: i for i in range(n)}, **{n + i: (i * 7919) % n for i in range(n)}}
+
+
+def test_salted_roots_and_contraction_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(union_find, "HOT", 20)
+    monkeypatch.setattr(union_find, "HOT_ROOTS", 1_000)
+    rng = np.random.default_rng(8)
+    pairs = [(5000, i) for i in range(900)] + [(i, i + 1) for i in range(6000, 6700)] + [(int(a), int(b)) for a, b in rng.integers(10_000, 10_800, (700, 2))] + [(-5, -9), (2**62, -(2**62))]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(6, "a", "b")
+    got = {r.node: r.group_id for r in union_find.components(df, per_task=64).collect()}
+    assert got == plain(pairs)
+
+
 def test_identifier_keys(spark):
     cases = [
         ("nip", "PL 213 315 21 80", "nip:2133152180"), ("NIP ", "213-315-21-80", "nip:2133152180"), ("regon", "PL5099856094", None),

@@ -2,16 +2,21 @@
 
 The records and the things that tie them form a bipartite graph. Three steps find its components:
 
-1. every input partition runs union-find over its own rows and keeps a spanning forest: one edge
-   from each record to the smallest record of its local tree, and one representative per key. No
-   shuffle comes before this, so a key on a third of all rows leaves its partition once per chunk;
-2. the representatives meet by key and run union-find again, which gives forest edges between records;
-3. forests are merged level by level through partitions of at most `per_task` edges. While more than
-   one partition is needed, each level merges the forests of its partitions and then points every
-   tree at the root of the tree above it by a join; at last one bounded partition remains.
-
-Only edges of forests are shuffled, one per record at most and level. Nothing goes to the driver
-but two counts a level. Levels are cut with `checkpoint`, so a lost executor costs one level.
+1. every input partition runs union-find over its own rows, a bounded chunk at a time, and keeps a
+   spanning forest: one edge from each record to the smallest record of its local tree, and one
+   representative per key and chunk. No shuffle comes before this, so a key on a third of all rows
+   leaves its partition once a chunk;
+2. the representatives of one key are sorted and each is tied to the one before it, which ties all of
+   them however many chunks or tasks they come from;
+3. the edges are dealt over partitions of about `per_task` edges. Each keeps a spanning forest only.
+   The forests are merged by contraction: a record that is the root of no tree is settled under its root and
+   leaves the graph, and only what ties the roots goes up to the next level, through fewer partitions. When what is left
+   fits one partition, that is merged and the settled records get their groups level by level, downwards.
+
+Only edges of forests are shuffled. Roots are drawn by a hash of the record, so a level settles a fixed
+share of the records even of a path. A root with very many records is salted where records meet its
+group. Nothing goes to the driver but one count a level. Levels are cut with `checkpoint`, so a lost
+executor costs one level.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.session import cut
@@ -29,6 +34,8 @@ from vacantia.session import cut
 PER_TASK = 1_000_000
 #: Rows of the input that are gathered for one local forest.
 CHUNK = 250_000
+#: Records under one root from which it is salted, at least; never more than `HOT_ROOTS` roots are.
+HOT, HOT_ROOTS, SALT = 1_000_000, 100_000, 64
 EDGE = "a bigint, b bigint"
 
 
@@ -107,22 +114,66 @@ def _merge_chunks(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _merge([f])
 
 
+def _rank(nodes: np.ndarray) -> np.ndarray:
+    """A number for each node that says nothing of its size: a 64-bit finaliser, one to one."""
+    x = nodes.astype(np.uint64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _forests(rows: int):
+    """Edges (a, b) to forest edges (a, b, rank of b), where b is the node of the least rank in its tree; `rows` edges at a time."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _chunks(frames, rows):
+            ends = np.unique(f[["a", "b"]].to_numpy(np.int64))
+            ranks = _rank(ends)
+            order = np.argsort(ranks)
+            place = np.empty(len(ends), np.int64)
+            place[order] = np.arange(len(ends))
+            child, root = local_forest(*(place[np.searchsorted(ends, f[c].to_numpy(np.int64))] for c in "ab"))
+            yield pd.DataFrame({"a": ends[order[child]], "b": ends[order[root]], "rank": ranks[order[root]]})
+
+    return run
+
+
+def _grouped(settled: DataFrame, groups: DataFrame, hot: int) -> DataFrame:
+    """node, group_id of (node, root) and groups (root, group_id); a root with more than `hot` nodes is salted."""
+    heavy = settled.groupBy("root").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select("root", F.lit(SALT).alias("_salts"))
+    # at most 1 / hot of the nodes are such roots: HOT_ROOTS rows
+    dealt = settled.join(F.broadcast(heavy), "root", "left").withColumn("_salt", F.pmod(F.xxhash64("node"), F.coalesce("_salts", F.lit(1))))
+    spread = groups.join(F.broadcast(heavy), "root", "left").select("root", "group_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)).cast("bigint") - 1)).alias("_salt"))
+    return dealt.join(spread, ["root", "_salt"]).select("node", "group_id")
+
+
 def _merge_forests(edges: DataFrame, per_task: int) -> DataFrame:
-    while True:
-        edges = cut(edges)
+    edges = cut(edges)
+    n = edges.count()
+    if n <= per_task:
+        return _members(edges.coalesce(1).mapInPandas(_merge, EDGE))
+    hot = max(HOT, n // HOT_ROOTS)
+    levels: list[DataFrame] = []
+    while n > per_task:
+        forest = edges.repartition(-(-n // per_task), "a").mapInPandas(_forests(per_task), "a bigint, b bigint, rank bigint")
+        forest = cut(forest)
+        # a node is in one tree a partition: its roots are tied to the first of them
+        first = F.min(F.struct("rank", "b")).over(Window.partitionBy("a"))
+        roots = forest.select(F.col("b").alias("a"), F.lit(True).alias("_root")).distinct()
+        tied = cut(forest.withColumn("to", first["b"]).select("a", "b", "to").join(roots, "a", "left"))
+        levels.append(tied.filter("_root is null").select(F.col("a").alias("node"), F.col("to").alias("root")).distinct())
+        up = tied.filter("b <> to").select(F.col("b").alias("x"), F.col("to").alias("y")).unionByName(tied.filter("_root").select(F.col("a").alias("x"), F.col("to").alias("y")))
+        edges = cut(up.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
         n = edges.count()
-        parts = -(-n // per_task)
-        if parts <= 1:
-            break
-        merged = cut(edges.repartition(parts, "a").mapInPandas(_merge, EDGE))
-        above = merged.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("c"))
-        jumped = merged.join(above, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")).distinct()
-        jumped = cut(jumped)
-        left = jumped.agg(F.count_if(F.col("moved")).alias("moved"), (F.count("*") - F.count_distinct("a")).alias("twice")).first()
-        edges = jumped.select("a", "b")
-        if not left.moved and not left.twice:
-            return _members(edges)
-    return _members(edges.coalesce(1).mapInPandas(_merge, EDGE))
+    groups = _members(edges.coalesce(1).mapInPandas(_merge, EDGE)).select(F.col("node").alias("root"), "group_id")
+    for settled in reversed(levels):
+        whole = settled.select("root").distinct().join(groups, "root", "left").select("root", F.coalesce("group_id", "root").alias("group_id"))
+        below = _grouped(settled, whole, hot)
+        # roots of this level that tie nothing above are groups of their own
+        rest = groups.join(whole.select("root"), "root", "left_anti")
+        groups = cut(below.select(F.col("node").alias("root"), "group_id").unionByName(whole).unionByName(rest))
+    groups = groups.withColumnsRenamed({"root": "node", "group_id": "root"})
+    return _grouped(groups, groups.groupBy("root").agg(F.min("node").alias("group_id")), hot)
 
 
 def _members(forest: DataFrame) -> DataFrame:
@@ -136,8 +187,8 @@ def tied_groups(rows: DataFrame, record: Column, key: Column, per_task: int = PE
     are ignored, whatever they are called. group_id is the group's smallest record.
     """
     ties = rows.select(key.cast("string").alias("key"), record.cast("bigint").alias("a")).dropna()
-    schema = "key string, a bigint, b bigint"
-    first = cut(ties.mapInPandas(_tie, schema))
+    first = cut(ties.mapInPandas(_tie, "key string, a bigint, b bigint"))
     inside = first.filter("key is null").select("a", "b")
-    between = first.filter("key is not null").select("key", "a").repartition("key").mapInPandas(_tie, schema).filter("key is null").select("a", "b")
+    before = F.lag("a").over(Window.partitionBy("key").orderBy("a"))
+    between = first.filter("key is not null").select("a", before.alias("b")).filter("a <> b")
     return _merge_forests(inside.unionByName(between), per_task)
