@@ -10,7 +10,8 @@ the null-space of the constraints (number of documents, number of tokens), a ran
 that fixes at least one document and keeps both totals in expectation and in fact, until two
 documents at most are left. Blocks of a source (bounded, hashed by document) fly in parallel; the few
 undecided documents of all blocks fly together next; the two left at last are landed by rounding.
-Draws are seeded by block, and blocks are sorted by document, so a repeated task draws the same.
+Draws are seeded by block, and blocks and the order within them come from the documents alone, so the
+draw is the same however the input is split into files and tasks. Rows that repeat a document are told apart by a number.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ _FLOWN = "source string, block bigint, doc_id bigint, row bigint, n_tokens bigin
 
 def _flight(last: bool):
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["doc_id", "row"], ignore_index=True)
+        f = f.sort_values(["doc_id", "n_tokens", "row"], ignore_index=True)
         rng = np.random.default_rng([SEED, *key[0].encode(), int(key[1]) + 1])
         x = f["n_tokens"].to_numpy()
         p = fly(f["p"].to_numpy(), x, rng)
@@ -129,16 +130,18 @@ def mixture(documents: DataFrame, targets: DataFrame, sizes: DataFrame | None =
     """
     if sizes is None:
         sizes = encode_documents(documents, vocabulary=vocabulary, counts_only=True, keep=("source",))
-    sizes = cut(sizes.select("doc_id", "source", "n_tokens", F.monotonically_increasing_id().alias("row")))
+    # rows that are equal in all of this are numbered: which of them is drawn makes no difference
+    alike = sizes.groupBy("doc_id", "source", "n_tokens").agg(F.count("*").alias("_rows"))
+    sizes = cut(alike.select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_rows"))).alias("row")))
     plan = mixture_plan(sizes, targets)
     dim = sizes.sparkSession.createDataFrame(plan[["source", "whole", "more", "blocks"]], "source string, whole int, more double, blocks bigint")
     drawn = sizes.filter("n_tokens > 0").join(dim, "source")
-    drawn = drawn.withColumn("block", F.pmod(F.xxhash64("doc_id", "row"), "blocks"))
+    drawn = drawn.withColumn("block", F.pmod(F.xxhash64("doc_id", "n_tokens", "row"), "blocks"))
     flown = cut(drawn.filter("more > 0").select("source", "block", "doc_id", "row", "n_tokens", F.col("more").alias("p")).groupBy("source", "block").applyInPandas(_flight(False), _FLOWN))
     undecided = flown.filter("p > 0 and p < 1").withColumn("block", F.lit(-1).cast("bigint"))
     landed = undecided.groupBy("source", "block").applyInPandas(_flight(True), _FLOWN)
-    extra = flown.filter("p = 1").unionByName(landed.filter("p = 1")).select("doc_id", "row", F.lit(1).alias("extra"))
-    out = drawn.join(extra, ["doc_id", "row"], "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
+    extra = flown.filter("p = 1").unionByName(landed.filter("p = 1")).select("doc_id", "source", "n_tokens", "row", F.lit(1).alias("extra"))
+    out = drawn.join(extra, ["doc_id", "source", "n_tokens", "row"], "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
     return out.filter("copies > 0").select("doc_id", "source", "n_tokens", "copies"), plan
 
 
