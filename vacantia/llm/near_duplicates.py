@@ -6,18 +6,18 @@ shingles either has.
 
 1. Equal word sequences are one text, so a text that is on a third of all rows costs as much as any other.
 2. One Arrow pass over the distinct texts makes each one's sketch: `BANDS` x `ROWS` minimum hashes over its
-   whole set of shingles, from them a fingerprint of one bit each, the fingerprint's Hamming distances to
-   `PIVOTS` reference fingerprints (the pivot table) and one hash per band. Sketches are written once,
-   bucketed by text, so the joins of steps 4 and 5 move pairs, never sketches;
-   so are the records' identifiers and keys.
-3. Texts that agree on a band are candidates: one equi-join on the band's hash. (Distances to pivots
-   alone order no space of this kind: unrelated texts all lie near the same distance from every pivot.)
-4. By the triangle inequality the largest difference of two rows of the pivot table is at most the
+   whole set of shingles, from them a fingerprint of one bit each, and one hash per band. Sketches are written
+   once, bucketed by text, so the joins of steps 4 and 5 move pairs, never sketches, and dropped when the pairs are known.
+3. Texts that agree on a band are candidates: one equi-join on the band's hash. This is the index of the method;
+   distances to pivots order no space of this kind, as unrelated texts all lie near the same distance from every pivot.
+4. `PIVOTS` reference fingerprints are drawn from a sample of `SAMPLE` texts, the ones that share bands with most others:
+   where families of texts are large, they are the references. Each text gets its Hamming distances to all of them once
+   (the pivot table). By the triangle inequality the largest difference of two rows of the table is at most the
    distance of the texts, so pairs with a coordinate further apart than `FAR` are discarded, then pairs
    whose distance itself is. `FAR` is five standard deviations above the mean at the threshold.
 5. The survivors are verified on the shingles themselves, in integers.
 6. Pairs of texts expand into pairs of records of different keys. Records are grouped by text and key
-   first, so the sightings of one key never pair with each other.
+   first, so the sightings of one key never pair with each other. Texts with more than `HOT` keys are salted by key.
 
 The chance that a pair just at the threshold shares no band is 0.13 per cent (0.8704 ** 48), at a
 similarity of 0.7 it is 0.0002 per cent; all later steps lose less than one in a million.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.session import ensure_checkpoint_dir
+from vacantia.session import cut, ensure_checkpoint_dir
 
 #: Shared share of shingles from which a pair counts, as numerator and denominator.
 THRESHOLD = (6, 10)
 WORDS = 3
 BANDS, ROWS = 48, 4
-PIVOTS = 16
+PIVOTS, SAMPLE = 64, 4096
+#: Keys of one text from which it is salted, at least; never more than `HOT_TEXTS` texts are.
+HOT, HOT_TEXTS, SALT = 5_000, 100_000, 32
 #: Most bits in which fingerprints of a pair at the threshold differ: mean 38.4, deviation 5.5.
 FAR = 66
 #: Distinct words and texts whose hashes a task keeps.
@@ -50,11 +53,10 @@ KEPT_WORDS, KEPT_TEXTS = 500_000, 1_000_000
 SLICE_CHARS = 4_000_000
 
 _FP = BANDS * ROWS // 64
-_SKETCH = "t bigint, h1 bigint, h2 bigint, n int, " + "".join(f"f{i} bigint, " for i in range(_FP)) + "".join(f"r{i} bigint, " for i in range(PIVOTS // 8)) + "bands array<bigint>, shingles array<int>"
+_SKETCH = "t bigint, h1 bigint, h2 bigint, n int, " + "".join(f"f{i} bigint, " for i in range(_FP)) + "bands array<bigint>, shingles array<int>"
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_REFERENCES = _rng.integers(0, 2**64, (PIVOTS, _FP), dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,18 +113,28 @@ def fingerprints(minima: np.ndarray) -> np.ndarray:
 
 
 def band_hashes(minima: np.ndarray) -> np.ndarray:
+    """One hash of 42 bits a band, below the band's number."""
     m = minima.reshape(len(minima), BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), m.shape[:2]) + np.uint64(1)
+    band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), m.shape[:2])
+    h = band + np.uint64(1)
     for r in range(ROWS):
         h = mix(h * np.uint64(0x100000001B3) + m[:, :, r])
-    return h.view(np.int64)
+    return ((h >> np.uint64(22)) | (band << np.uint64(42))).view(np.int64)
 
 
-def pivot_rows(fp: np.ndarray) -> np.ndarray:
-    """The pivot table: a byte for the distance to each reference, eight to a word."""
-    apart = np.bitwise_count(fp.view(np.uint64)[:, None, :] ^ _REFERENCES[None]).sum(axis=2, dtype=np.uint64)
-    shift = np.uint64(8) * np.arange(8, dtype=np.uint64)
-    return (apart.reshape(len(fp), PIVOTS // 8, 8) << shift).sum(axis=2, dtype=np.uint64).view(np.int64)
+def references(fps: np.ndarray, bands: np.ndarray, most: int = PIVOTS) -> np.ndarray:
+    """The rows of at most `most` fingerprints whose texts share bands with most others of the sample, no two of one band."""
+    values, at, n = np.unique(bands, return_inverse=True, return_counts=True)
+    at = at.reshape(bands.shape)
+    mates = (n[at] - 1).sum(axis=1)
+    used, out = np.zeros(len(values), bool), []
+    for i in np.argsort(-mates, kind="stable"):
+        if len(out) == most:
+            break
+        if not used[at[i]].any():
+            used[at[i]] = True
+            out.append(i)
+    return fps[out]
 
 
 def _list(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -185,26 +197,27 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, counts = shingle_sets([w for *_, w in part], known)
             minima = sketches(shingles, counts)
             fp, bands = fingerprints(minima), band_hashes(minima)
-            near = pivot_rows(fp)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array([p[i] for p in part], pa.int64()) for i in range(3)), pa.array(counts, pa.int32()), *(pa.array(c, pa.int64()) for c in (*fp.T, *near.T)),
+                [*(pa.array([p[i] for p in part], pa.int64()) for i in range(3)), pa.array(counts, pa.int32()), *(pa.array(c, pa.int64()) for c in fp.T),
                  _list(bands, np.full(len(part), BANDS), pa.int64()), _list(shingles.view(np.int32), counts, pa.int32())],
                 names=[c.split()[0] for c in _SKETCH.split(", ")],
             )
 
 
-def _written(df: DataFrame, parts: int) -> DataFrame:
-    """`df`, whose rows of one t are in one task each, written to the shared checkpoint folder bucketed by t."""
-    spark = df.sparkSession
-    name = f"bucketed_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(parts, "t").option("compression", "zstd").option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
-def written_sketches(texts: DataFrame) -> DataFrame:
-    """The sketches of (h1, h2, words), written once."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _written(texts.repartition(parts, "h1").mapInArrow(_sketch, _SKETCH), parts)
+@contextmanager
+def written_sketches(texts: DataFrame) -> Iterator[DataFrame]:
+    """The sketches of (h1, h2, words) as a table in the shared checkpoint folder, bucketed by text, dropped in the end."""
+    spark = texts.sparkSession
+    name, parts = f"bucketed_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    try:
+        made = texts.repartition(parts, "h1").mapInArrow(_sketch, _SKETCH)
+        made.write.format("parquet").bucketBy(parts, "t").option("compression", "zstd").option("path", path).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _distance(i: str, j: str) -> Column:
@@ -212,25 +225,32 @@ def _distance(i: str, j: str) -> Column:
     return sum(words[1:], words[0])
 
 
-def _apart(i: str, j: str) -> Column:
-    """The largest difference of two rows of the pivot table."""
+def _row_of_pivots(pivots: np.ndarray) -> Column:
+    """A text's row of the pivot table: its distance to each reference, in a byte (at most 192, kept less 128)."""
+    far = [sum((F.bit_count(F.col(f"f{k}").bitwiseXOR(F.lit(int(p[k])))) for k in range(1, _FP)), F.bit_count(F.col("f0").bitwiseXOR(F.lit(int(p[0]))))) for p in pivots]
+    return F.array(*[(d - 128).cast("byte") for d in far])
 
-    def at(side: str, k: int) -> Column:
-        return F.shiftrightunsigned(F.col(f"r{k // 8}{side}"), 8 * (k % 8)).bitwiseAND(F.lit(255))
 
-    return F.greatest(*[F.abs(at(i, k) - at(j, k)) for k in range(PIVOTS)])
+def similar_texts(s: DataFrame, far: int = FAR, counts: dict[str, int] | None = None) -> DataFrame:
+    """t1, t2 (t1 < t2) of all pairs of sketched texts at the threshold or above.
 
-
-def similar_texts(s: DataFrame, far: int = FAR) -> DataFrame:
-    """t1, t2 (t1 < t2) of all pairs of sketched texts at the threshold or above."""
+    `counts`, if given, gets the numbers of candidates, of those that the pivot table and then the distance discard.
+    """
     p, q = THRESHOLD
+    sample = s.select("t", *[f"f{i}" for i in range(_FP)], "bands").orderBy("t").limit(SAMPLE).collect()
+    pivots = references(np.array([r[1 : 1 + _FP] for r in sample], np.int64), np.array([r["bands"] for r in sample], np.int64)) if sample else np.empty((0, _FP))
     bands = s.select("t", "n", F.explode("bands").alias("band"))
     x, y = bands.alias("x"), bands.alias("y")
     sized = (F.col("x.n") * q >= F.col("y.n") * p) & (F.col("y.n") * q >= F.col("x.n") * p)
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.t") < F.col("y.t")) & sized).select(F.col("x.t").alias("t1"), F.col("y.t").alias("t2")).distinct()
-    row = ["n", *[f"f{i}" for i in range(_FP)], *[f"r{i}" for i in range(PIVOTS // 8)]]
-    a, b = (s.select(F.col("t").alias(f"t{i}"), *[F.col(c).alias(f"{c}{i}") for c in row]) for i in (1, 2))
-    near = pairs.join(a, "t1").join(b, "t2").filter(_apart("1", "2") <= far).filter(_distance("1", "2") <= far).select("t1", "t2", "n1", "n2")
+    table = s.select("t", "n", *[f"f{i}" for i in range(_FP)], _row_of_pivots(pivots).alias("row") if len(pivots) else F.array().cast("array<tinyint>").alias("row"))
+    a, b = (table.select(*[F.col(c).alias(f"{c}{i}") for c in table.columns]) for i in (1, 2))
+    apart = F.exists(F.zip_with("row1", "row2", lambda i, j: F.abs(i.cast("int") - j.cast("int"))), lambda d: d > far)
+    met = pairs.join(a, "t1").join(b, "t2")
+    if counts is not None:
+        met = cut(met)
+        counts |= {"candidates": met.count(), "pivots": met.filter(apart).count(), "distance": met.filter(~apart & (_distance("1", "2") > far)).count()}
+    near = met.filter(~apart).filter(_distance("1", "2") <= far).select("t1", "t2", "n1", "n2")
     s1, s2 = (s.select(F.col("t").alias(f"t{i}"), F.col("shingles").alias(f"s{i}")) for i in (1, 2))
     both = F.size(F.array_intersect("s1", "s2"))
     return near.join(s1, "t1").join(s2, "t2").filter(both * q >= (F.col("n1") + F.col("n2") - both) * p).select("t1", "t2")
@@ -254,15 +274,31 @@ def near_duplicate_pairs(rows: DataFrame, id_col: str, text_cols: list[str], bod
     key = F.when(whole, F.concat(*parts)).otherwise(F.concat(F.lit("#"), identifier.cast("string")))
     some = rows.filter(F.col(body_col).rlike(r"[^\s\p{Z}\x{feff}]"))
     read = some.select(identifier.alias("id"), key.alias("key"), *[F.col(c).cast("string").alias(f"text{i}") for i, c in enumerate(text_cols)])
-    s = written_sketches(read.mapInArrow(_hashed(True, len(text_cols)), "h1 bigint, h2 bigint, words string"))
-    hashed = read.mapInArrow(_hashed(False, len(text_cols)), "id bigint, key string, h1 bigint, h2 bigint")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    member = _written(hashed.join(s.select("t", "h1", "h2"), ["h1", "h2"]).select("id", "t", "key").repartition(parts, "t"), parts)
+    with written_sketches(read.mapInArrow(_hashed(True, len(text_cols)), "h1 bigint, h2 bigint, words string")) as s:
+        hashed = read.mapInArrow(_hashed(False, len(text_cols)), "id bigint, key string, h1 bigint, h2 bigint")
+        member = cut(hashed.join(s.select("t", "h1", "h2"), ["h1", "h2"]).select("id", "t", "key").repartition(parts, "t", "key"))
+        similar = cut(similar_texts(s))
     groups = member.select("t", "key").distinct()
-    twice = groups.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1")
-    across = similar_texts(s).unionByName(twice.select(F.col("t").alias("t1"), F.col("t").alias("t2")))
+    twice = cut(groups.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1"))
+    across = similar.unionByName(twice.select(F.col("t").alias("t1"), F.col("t").alias("t2")))
+    return _expanded(across, groups, member, twice)
+
+
+def _expanded(across: DataFrame, groups: DataFrame, member: DataFrame, twice: DataFrame) -> DataFrame:
+    """The pairs of records of the pairs of texts `across`; a text with very many keys is dealt by key."""
+    keys = twice.agg(F.sum("k")).first()[0] or 0
+    # at most one in `HOT` (or HOT_TEXTS in all) of the texts are such
+    hot = twice.filter(F.col("k") > max(HOT, keys // HOT_TEXTS)).select("t", F.lit(SALT).cast("bigint").alias("_salts"))
+
+    def salts(df: DataFrame, t: str) -> DataFrame:
+        return df.join(F.broadcast(hot.withColumnRenamed("t", t)), t, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1).cast("bigint")))
+
+    every, own = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)), F.pmod(F.xxhash64("key1"), F.col("_salts"))
     g1, g2 = (groups.select(F.col("t").alias(f"t{i}"), F.col("key").alias(f"key{i}")) for i in (1, 2))
-    linked = across.join(g1, "t1").join(g2, "t2").filter((F.col("key1") != F.col("key2")) & ((F.col("t1") != F.col("t2")) | (F.col("key1") < F.col("key2"))))
+    first = salts(across, "t1").withColumn("_salt", every).drop("_salts").join(salts(g1, "t1").withColumn("_salt", own).drop("_salts"), ["t1", "_salt"]).drop("_salt")
+    linked = salts(first, "t2").withColumn("_salt", own).drop("_salts").join(salts(g2, "t2").withColumn("_salt", every).drop("_salts"), ["t2", "_salt"]).drop("_salt")
+    linked = linked.filter((F.col("key1") != F.col("key2")) & ((F.col("t1") != F.col("t2")) | (F.col("key1") < F.col("key2"))))
     a, b = (member.select(F.col("t").alias(f"t{i}"), F.col("key").alias(f"key{i}"), F.col("id").alias(x)) for i, x in ((1, "a"), (2, "b")))
     out = linked.join(a, ["t1", "key1"]).join(b, ["t2", "key2"]).filter("a <> b")
     return out.select(F.least("a", "b").alias("observation_id_a"), F.greatest("a", "b").alias("observation_id_b"))
