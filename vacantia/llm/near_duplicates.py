@@ -42,7 +42,7 @@ from vacantia.session import cut, ensure_checkpoint_dir
 THRESHOLD = (6, 10)
 WORDS = 3
 BANDS, ROWS = 48, 4
-PIVOTS, SAMPLE = 64, 4096
+PIVOTS, SAMPLE = 32, 4096
 #: Keys of one text from which it is salted, at least; never more than `HOT_TEXTS` texts are.
 HOT, HOT_TEXTS, SALT = 5_000, 100_000, 32
 #: Most bits in which fingerprints of a pair at the threshold differ: mean 38.4, deviation 5.5.
@@ -237,7 +237,9 @@ def similar_texts(s: DataFrame, far: int = FAR, counts: dict[str, int] | None =
     `counts`, if given, gets the numbers of candidates, of those that the pivot table and then the distance discard.
     """
     p, q = THRESHOLD
-    sample = s.select("t", *[f"f{i}" for i in range(_FP)], "bands").orderBy("t").limit(SAMPLE).collect()
+    # t is a hash: texts below a bound are a sample of about SAMPLE texts, 2 MB
+    bound = -(1 << 63) + ((1 << 64) * SAMPLE) // max(SAMPLE + 1, s.count())
+    sample = sorted(s.select("t", *[f"f{i}" for i in range(_FP)], "bands").filter(F.col("t") < bound).collect())
     pivots = references(np.array([r[1 : 1 + _FP] for r in sample], np.int64), np.array([r["bands"] for r in sample], np.int64)) if sample else np.empty((0, _FP))
     bands = s.select("t", "n", F.explode("bands").alias("band"))
     x, y = bands.alias("x"), bands.alias("y")
