@@ -18,22 +18,23 @@ REAL = [
     "Strona kariery wymaga skryptów tylko przy wysyłce CV, można też przynieść je osobiście.", "Premia do 10% brutto, a w sezonie nawet 15%.", "Linia produkcyjna nr 404 szuka operatora, hala 502.", "Numer [00282] wpisz w tytule.",
     "Usuwamy usterki, zanim klient zobaczy komunikat o niedostępnej stronie.", "Kontakt handlowy: a_b@firma.example, telefon wewnętrzny 4.",
 ]
-SCHEMA = "id bigint, description string, url string, title string, record_id string, evidence_text string, evidence_url string"
+SCHEMA = "id bigint, description string, url string, title string, record_id string, evidence_text string, evidence_url string, evidence_signal string, company_id bigint"
 
 
-def frame(spark, texts):
-    rows = [(i, t, f"https://host{i % 5}.example/oferta/{i}", f"Stanowisko{i} pracownik", "clash", t, "https://a.example/x") for i, t in enumerate(texts)]
+def frame(spark, texts, signal=None):
+    rows = [(i, t, f"https://host{i % 5}.example/oferta/{i}", f"Stanowisko{i} pracownik", "clash", t, f"https://site{i}.example/o-firmie", signal, i) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def found(df, title="title"):
-    return sorted(r.record_id for r in residue.residue(df, "id", "description", "url", title).collect())
+def found(df, snapshots=False):
+    out = residue.found_residue(df.limit(0), df) if snapshots else residue.found_residue(df, df.limit(0))
+    return sorted(r.record_id for r in out.collect())
 
 
 def test_kinds_and_traps(spark):
-    for title in ("title", None):
-        assert found(frame(spark, FOUND), title) == list(range(len(FOUND)))
-        assert found(frame(spark, REAL), title) == []
+    for snapshots in (False, True):
+        assert found(frame(spark, FOUND), snapshots) == list(range(len(FOUND)))
+        assert found(frame(spark, REAL), snapshots) == []
 
 
 def test_residue_in_long_texts(spark):
@@ -48,19 +49,35 @@ def test_long_responses_and_filler(spark):
     real = "Ups! To nie pomyłka, szukamy ludzi do hali. " + "Zapewniamy odzież i posiłek, a w sezonie premię. " * 12
     check = "Sprawdzamy, czy kandydat bezpiecznie łączy się z siecią zakładu. Zapewniamy odzież i posiłek. " + "Nadgodziny są płatne, a szkolenie trwa dwa dni. " * 6
     assert found(frame(spark, [check])) == []
+    page = "404 Not Found. " + "Wybierz inny adres z listy albo wpisz go jeszcze raz w pasku u góry okna. " * 5
+    latin = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. " * 9
+    nonsense = ("Elitra magnor fugitam tempro ampera pelluca quorem tristique do " * 30 + "vastura ").strip()
+    assert found(frame(spark, [page, latin, nonsense])) == [0, 1]  # a tenth of function words is no filler
     assert found(frame(spark, ["Access denied. Incident 9cdc4a9. " + menu, lorem, trace, real])) == [0, 1, 2]
 
 
 def test_pages_served_under_many_titles(spark):
     same = ["Odczekaj chwilę, wracamy niebawem, kod 4a7" for _ in range(20)]
     assert found(frame(spark, same)) == list(range(20))
-    assert found(frame(spark, same[:3])) == []
-    own = frame(spark, same).selectExpr("id", "'Opis: stanowisko kucharz, zmiana nocna' as description", "url", "concat('Kucharz ', id) as title")
+    assert found(frame(spark, same[:2])) == []
+    long = ["Odczekaj chwilę, wracamy niebawem. " * 40 + f"Kod {i}a7" for i in range(20)]
+    assert found(frame(spark, long)) == list(range(20))
+    own = frame(spark, same).selectExpr("*").drop("description", "title").selectExpr("*", "'Opis: stanowisko kucharz, zmiana nocna' as description", "concat('Kucharz ', id) as title")
     assert found(own) == []
 
 
+def test_evidence_of_both_tables_together(spark):
+    """A page that stands for a posting and under two firms is served; forms of contact pages alone are no evidence."""
+    text, form = "Odczekaj chwilę, wracamy niebawem, kod 4a7", "Formularz zapytania: nazwa firmy, zakres, temat"
+    got = {(r.record_table, r.record_id, r.served) for r in residue.residue_evidence(frame(spark, [text, "Opis pracy stanowisko0"]), frame(spark, [text, text, form, form, form, form])).collect()}
+    assert got == {("job_postings", 0, True), ("contact_evidence_snapshots", 0, True), ("contact_evidence_snapshots", 1, True)}
+    told = frame(spark, [text, text], signal="chwilowy kontakt")
+    assert {r.record_table for r in residue.residue_evidence(frame(spark, [text]), told).collect()} == set()
+
+
 def test_nulls_blanks_and_empty_tables(spark):
-    df = spark.createDataFrame([(1, None, None, None), (2, " \n\t ", None, None), (3, "NaN", None, None), (3, "NaN", None, None)], "id bigint, description string, url string, title string")
+    rows = [(i, t, None, None, "x", t, None, None, None) for i, t in ((1, None), (2, " \n\t "), (3, "NaN"), (3, "NaN"))]
+    df = spark.createDataFrame(rows, SCHEMA)
     assert found(df) == [3, 3] and found(df.limit(0)) == []
 
 

@@ -1,17 +1,19 @@
 """Problem 4: template residue, filler, error pages and script notices instead of content.
 
-Four detectors look at a record; everything is native column expressions over whole texts:
+Every rule is a native column expression over the whole text, of any length:
 
+* host evidence: the text shares too few terms with its title and the last part of its address (for evidence texts, with the
+  address and the signal it is evidence of), and its masked form (numbers, codes and remarks aside) stands under `LEAST_CONTEXTS`
+  different titles or firms of `LEAST_HOSTS` hosts, at least one of them a posting: a page that was served in place of the
+  records. Both tables give this evidence together, and it holds for the records of both;
 * placeholders of template languages, outside sentences that speak of templates;
-* responses: texts that open with a message of a server, a gate, a crashed program or a
-  script notice, in the languages of the corpus; longer ones only if they hold no term of title or slug and no real content;
-* filler: running text without one function word of any of the languages, or whose words hardly
-  change, that shares no term with title or address;
-* host evidence: a short text with no term of its title or address slug, whose masked form stands
-  under many different titles of several hosts, is a page that was served in place of the record.
-
-The last one is an aggregate over the masked forms of all short texts; it is pre-aggregated before its
-shuffle, and its result (forms only, no records) joins back on a hash of the form.
+* responses: texts that open with a message of a server, a gate, a crashed program or a script notice, in the languages of the
+  corpus, whose rest names too few terms of the title and holds no real content;
+* filler: running text with next to no function word of any of the languages, or whose words hardly
+  change, that shares too few terms with title or address.
+
+Host evidence is an aggregate over the masked forms of mismatched texts; form, host and title are
+hashed and pre-aggregated before the shuffle, and the forms found join back on the hash.
 """
 
 from __future__ import annotations
@@ -19,10 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most words of a text that is a response by its opening alone.
-RESPONSE_WORDS = 40
-#: Different titles and hosts that one masked form must stand under to count as served in their place.
-LEAST_TITLES, LEAST_HOSTS, FORM_WORDS = 6, 3, 20
+#: Different titles or firms, and hosts, that one masked form must stand under to count as served in their place.
+LEAST_CONTEXTS, LEAST_HOSTS = 3, 2
+#: Share of the terms of title and address that a text about them names.
+TERM_SHARE = 0.5
+#: Letters of two words of one stem.
+STEM = 5
+#: Most function words among all words of filler, and the fewest words that can be told to be filler by that.
+FUNCTION_SHARE, FILLER_WORDS = 0.02, 9
+#: Different words among all words of filler, at most: it is made of a small stock.
+FILLER_KINDS = 0.87
 
 # Placeholder notations of template languages.
 PLACEHOLDERS = (
@@ -76,7 +84,7 @@ FUNCTION_WORDS = (
     " та і в у на з для до що як або за ми не про від під є й по над"
 ).split()
 
-# Stems of what adverts and firms say of work; a long text with `CONTENT_STEMS` of them is real content.
+# Stems of what adverts and firms say of work; a text with `CONTENT_STEMS` of them is real content.
 CONTENT = (
     "zapewniamy oferujemy wymagamy szukamy kandydat stanowisk zespo załog pracown umow wynagrodz premi doświadcz zatrudn zmianow kwalifik szkoleni nadgodzin orzeczeni wdrożeni atut"
     " candidate salary team experience shift benefit employ requirement training overtime bewerb gehalt erfahrung mitarbeit schicht schulung überstunden"
@@ -97,13 +105,22 @@ def has_placeholder(text: Column) -> Column:
     return F.when(hint, F.when(text.rlike("(?iU)" + TALK), spoken).otherwise(text).rlike("|".join(PLACEHOLDERS))).otherwise(False)
 
 
-def is_response(text: Column, count: Column, context: Column) -> Column:
-    """Whether a text of `count` words opens like a response, and a longer one holds no word with the start of one of `context` and no real content."""
+def stems(ws: Column) -> Column:
+    """The first letters of each different word of more than three letters."""
+    return F.array_distinct(F.transform(F.filter(ws, lambda w: F.length(w) > 3), lambda w: F.substring(w, 1, STEM)))
+
+
+def names_terms(ws: Column, terms: Column) -> Column:
+    """Whether the words hold more than `TERM_SHARE` of the stems `terms`."""
+    return F.size(F.array_intersect(stems(ws), terms)) > F.size(terms) * TERM_SHARE
+
+
+def is_response(text: Column, terms: Column) -> Column:
+    """Whether a text opens like a response and its rest neither names the stems `terms` nor holds real content."""
     opening = "|".join(p.replace(r"\1", rf"\{n}") for p, n in zip([p for ps in RESPONSES.values() for p in ps], _backreferences()))
-    starts = lambda ws: F.transform(ws, lambda w: F.substring(w, 1, 5))
-    opens = text.rlike(r"(?iU)^[\s\p{Z}\"„'*#>-]*(?:" + opening + ")")
+    opening = r"(?iU)^[\s\p{Z}\"„'*#>-]*(?:" + opening + ")"
     real = F.size(F.filter(F.array(*[F.lit(x) for x in CONTENT]), lambda x: F.contains(F.lower(text), x))) >= CONTENT_STEMS
-    return F.when(~opens, False).when(count <= RESPONSE_WORDS, True).when(real, False).otherwise(~F.arrays_overlap(starts(words(text)), starts(context)))
+    return F.when(~text.rlike(opening), False).when(real, False).otherwise(~names_terms(words(F.regexp_replace(text, opening, " ")), terms))
 
 
 def _backreferences() -> list[int]:
@@ -116,12 +133,13 @@ def _backreferences() -> list[int]:
     return out
 
 
-def is_filler(w: Column, context: Column) -> Column:
-    """Running words `w` without a function word, or that hardly change; none of `context` among them."""
+def is_filler(w: Column, terms: Column) -> Column:
+    """Running words `w` (addresses and numbers aside) with next to no function word, that repeat themselves and don't name the stems `terms`."""
     lists = F.array(*[F.lit(x) for x in FUNCTION_WORDS])
     n, kinds = F.size(w), F.size(F.array_distinct(w))
-    strange = ~F.arrays_overlap(w, lists) & (kinds < 0.9 * n)
-    return (n >= 8) & strange & ~F.arrays_overlap(w, context)
+    functions = F.size(F.filter(w, lambda x: F.array_contains(lists, x)))
+    few = F.size(F.array_intersect(w, lists)) <= n * FUNCTION_SHARE  # different ones are no more than all
+    return F.when((n >= FILLER_WORDS) & (kinds < n * FILLER_KINDS) & few, (functions <= n * FUNCTION_SHARE) & ~names_terms(w, terms)).otherwise(False)
 
 
 def masked_form(text: Column) -> Column:
@@ -130,38 +148,40 @@ def masked_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*", " "), r"[^\p{L}]+", " "))
 
 
-def residue(records: DataFrame, id_col: str, text_col: str, url_col: str, title_col: str | None) -> DataFrame:
-    """record_id of every record whose text is residue, once per row of `records`.
-
-    NULL and blank texts never count; NULL titles and addresses give no terms and no host evidence;
-    texts of any length are read whole; other columns are ignored; an empty table gives no rows.
-    """
+def _read(records: DataFrame, table: str, id_col: str, text_col: str, url_col: str, title_col: str | None, signal_col: str | None, firm_col: str | None) -> DataFrame:
+    """record_table, record_id, the flags of the detectors and what host evidence needs, of every non-blank text."""
     text, url = F.col(text_col), F.coalesce(F.col(url_col), F.lit(""))
-    slug = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z]+://[^/]*", ""), r"\d+", " ")
-    title = F.coalesce(F.col(title_col), F.lit("")) if title_col else F.lit("")
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
+    path = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z]+://[^/?#]*", ""), r"[?#].*$|/+$", "")
     t = records.filter(F.regexp_replace(text, r"[\s\p{Z}\x{feff}]+", "") != "").select(
-        F.col(id_col).cast("bigint").alias("record_id"), text.alias("_text"), F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]+)", 1)).alias("_host"), F.lower(title).alias("_title"), slug.alias("_slug")
+        F.lit(table).alias("record_table"), F.col(id_col).cast("bigint").alias("record_id"), text.alias("_text"), F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]+)", 1)).alias("_host"),
+        F.lower(blank(title_col)).alias("_title"), F.concat_ws(" ", F.lower(blank(title_col)), F.regexp_replace(F.lower(F.regexp_extract(path, r"([^/]*)$", 1)), r"[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*", " "), F.lower(blank(signal_col))).alias("_about"), blank(firm_col).alias("_firm"),
+    )
+    t = t.withColumn("_w", words(F.col("_text"))).withColumn("_terms", stems(words(F.col("_about"))))
+    context = F.when(F.lit(title_col is not None), F.col("_title")).otherwise(F.col("_firm"))
+    t = t.withColumns({"placeholder": has_placeholder(F.col("_text")), "response": is_response(F.col("_text"), F.col("_terms")), "filler": is_filler(words(F.regexp_replace("_text", r"\S*[@:/.][\p{L}\p{N}]\S*|\S*\p{N}\S*", " ")), F.col("_terms"))})
+    strange = (F.size("_terms") > 0) & (F.size(F.array_intersect(stems(F.col("_w")), "_terms")) == 0) & (F.col("_host") != "") & (context != "")
+    form = masked_form(F.col("_text"))
+    t = t.withColumn("_form", F.when(strange, F.when(form != "", F.xxhash64(form))))
+    return t.select("record_table", "record_id", "placeholder", "response", "filler", "_form", F.xxhash64("_host").alias("_h"), F.xxhash64(context).alias("_c"), F.lit(title_col is not None).alias("_titled"))
+
+
+def residue_evidence(postings: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """record_table, record_id, placeholder, response, filler, served of every non-blank text of both tables that has any evidence.
+
+    NULL and blank texts never count; NULL titles, addresses, signals and firms give no terms and no host evidence;
+    texts of any length are read whole; repeated rows are kept; other columns are ignored; empty tables give no rows.
+    """
+    t = _read(postings, "job_postings", "id", "description", "url", "title", None, None).unionByName(
+        _read(snapshots, "contact_evidence_snapshots", "id", "evidence_text", "evidence_url", None, "evidence_signal", "company_id")
     )
-    # Responses and filler of any length are decided within the scan; only short texts are masked and joined.
-    t = t.withColumn("_n", F.size(F.split(F.trim("_text"), r"\s+")))
-    t = t.withColumn("_w", words(F.col("_text")))
-    context = F.filter(words(F.concat_ws(" ", "_title", "_slug")), lambda x: F.length(x) > 3)
-    t = t.withColumn("_terms", context)
-    own = has_placeholder(F.col("_text")) | is_response(F.col("_text"), F.col("_n"), F.col("_terms")) | F.coalesce(is_filler(F.col("_w"), F.col("_terms")), F.lit(False))
-    t = t.withColumn("_own", own)
-    if title_col is None:
-        return t.filter("_own").select("record_id")
-    bare = (F.col("_n") <= FORM_WORDS) & ~F.arrays_overlap("_w", "_terms") & (F.col("_host") != "") & (F.col("_title") != "")
-    t = t.withColumn("_form", F.when(bare & ~F.col("_own"), F.xxhash64(masked_form(F.col("_text")))))
-    t = t.select("record_id", "_own", "_form", "_host", "_title").filter("_own or _form is not null")
-    forms = t.filter("_form is not null").groupBy("_form", "_host", "_title").agg(F.lit(1).alias("_one"))
-    served = forms.groupBy("_form").agg(F.approx_count_distinct("_title", 0.02).alias("_titles"), F.approx_count_distinct("_host", 0.02).alias("_hosts"))
-    served = served.filter((F.col("_titles") >= LEAST_TITLES) & (F.col("_hosts") >= LEAST_HOSTS)).select("_form", F.lit(True).alias("_served"))
-    return t.join(served, "_form", "left").filter(F.col("_own") | F.col("_served")).select("record_id")
+    forms = t.filter("_form is not null").groupBy("_form", "_h", "_c").agg(F.max("_titled").alias("_titled"))
+    served = forms.groupBy("_form").agg(F.approx_count_distinct("_c", 0.02).alias("_contexts"), F.approx_count_distinct("_h", 0.02).alias("_hosts"), F.max("_titled").alias("_titled"))
+    served = served.filter((F.col("_contexts") >= LEAST_CONTEXTS) & (F.col("_hosts") >= LEAST_HOSTS) & F.col("_titled")).select("_form", F.lit(True).alias("_served"))
+    found = t.filter("placeholder or response or filler or _form is not null").join(served, "_form", "left").withColumn("served", F.coalesce("_served", F.lit(False)))
+    return found.filter("placeholder or response or filler or served").select("record_table", "record_id", "placeholder", "response", "filler", "served")
 
 
 def found_residue(postings: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """record_table, record_id of residue among job postings and contact evidence."""
-    a = residue(postings, "id", "description", "url", "title").select(F.lit("job_postings").alias("record_table"), "record_id")
-    b = residue(snapshots, "id", "evidence_text", "evidence_url", None).select(F.lit("contact_evidence_snapshots").alias("record_table"), "record_id")
-    return a.unionByName(b)
+    """record_table, record_id of residue among job postings and contact evidence (cases: see `residue_evidence`)."""
+    return residue_evidence(postings, snapshots).select("record_table", "record_id")
