@@ -2,15 +2,15 @@
 
 Every rule is a native column expression over the whole text, of any length:
 
-* host evidence: the text shares too few terms with its title and the last part of its address (for evidence texts, with the
-  address and the signal it is evidence of), and its masked form (numbers, codes and remarks aside) stands under `LEAST_CONTEXTS`
+* host evidence: the text speaks of nothing real, shares no term with its title and the last part of its address (for evidence texts, with the
+  address and the signal it is evidence of), and its masked form (numbers and codes aside) stands under `LEAST_CONTEXTS`
   different titles or firms of `LEAST_HOSTS` hosts, at least one of them a posting: a page that was served in place of the
   records. Both tables give this evidence together, and it holds for the records of both;
 * placeholders of template languages, outside sentences that speak of templates;
 * responses: texts that open with a message of a server, a gate, a crashed program or a script notice, in the languages of the
   corpus, whose rest names too few terms of the title and holds no real content;
-* filler: running text with next to no function word of any of the languages, or whose words hardly
-  change, that shares too few terms with title or address.
+* filler: running text without any address, with next to no function word of any of the languages, made of few
+  words over and over, that shares too few terms with title or address.
 
 Host evidence is an aggregate over the masked forms of mismatched texts; form, host and title are
 hashed and pre-aggregated before the shuffle, and the forms found join back on the hash.
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.session import cut
+
 #: Different titles or firms, and hosts, that one masked form must stand under to count as served in their place.
 LEAST_CONTEXTS, LEAST_HOSTS = 3, 2
 #: Share of the terms of title and address that a text about them names.
@@ -28,9 +30,9 @@ TERM_SHARE = 0.5
 #: Letters of two words of one stem.
 STEM = 5
 #: Most function words among all words of filler, and the fewest words that can be told to be filler by that.
-FUNCTION_SHARE, FILLER_WORDS = 0.02, 9
+FUNCTION_SHARE, FILLER_WORDS = 0.02, 8
 #: Different words among all words of filler, at most: it is made of a small stock.
-FILLER_KINDS = 0.87
+FILLER_KINDS = 0.9
 
 # Placeholder notations of template languages.
 PLACEHOLDERS = (
@@ -101,8 +103,11 @@ def words(text: Column) -> Column:
 def has_placeholder(text: Column) -> Column:
     """Whether a placeholder stands outside the sentences that speak of templates."""
     spoken = F.regexp_replace(text, r"(?iU)[^.!?\n]{0,400}?" + TALK + r"[^.!?\n]{0,400}[.!?]?", " ")
-    hint = text.rlike(r"[{}%<@#_\[]")
-    return F.when(hint, F.when(text.rlike("(?iU)" + TALK), spoken).otherwise(text).rlike("|".join(PLACEHOLDERS))).otherwise(False)
+    hint = text.rlike(r"[{$]\{|\{[%a-z]|<[%<]|@@|[#%][A-Z]|__[A-Z]|\[\p{L}")  # what each of them begins with
+    some = F.lit(False)
+    for sign in ("{", "<", "@@", "#", "%", "__", "["):
+        some |= text.contains(sign)
+    return F.when(some & hint, F.when(text.rlike("(?iU)" + TALK), spoken).otherwise(text).rlike("|".join(PLACEHOLDERS))).otherwise(False)
 
 
 def stems(ws: Column) -> Column:
@@ -110,17 +115,24 @@ def stems(ws: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(ws, lambda w: F.length(w) > 3), lambda w: F.substring(w, 1, STEM)))
 
 
-def names_terms(ws: Column, terms: Column) -> Column:
-    """Whether the words hold more than `TERM_SHARE` of the stems `terms`."""
-    return F.size(F.array_intersect(stems(ws), terms)) > F.size(terms) * TERM_SHARE
+def terms_named(lower: Column, terms: Column) -> Column:
+    """How many of the stems `terms` stand in a text in lower case."""
+    # the text goes with the sum: within a filter's function it would be put in lower case for each stem
+    first = F.struct(lower.alias("text"), F.lit(0).alias("n"))
+    return F.aggregate(terms, first, lambda s, t: F.struct(s["text"].alias("text"), (s["n"] + F.contains(s["text"], t).cast("int")).alias("n")), lambda s: s["n"])
+
+
+def is_real(lower: Column) -> Column:
+    """Whether a text in lower case speaks of work in `CONTENT_STEMS` ways."""
+    held = [F.contains(lower, F.lit(x)).cast("int") for x in CONTENT]
+    return sum(held[1:], held[0]) >= CONTENT_STEMS
 
 
-def is_response(text: Column, terms: Column) -> Column:
-    """Whether a text opens like a response and its rest neither names the stems `terms` nor holds real content."""
+def is_response(text: Column, lower: Column, terms: Column) -> Column:
+    """Whether a text opens like a response and its rest neither names the stems `terms` nor is real content."""
     opening = "|".join(p.replace(r"\1", rf"\{n}") for p, n in zip([p for ps in RESPONSES.values() for p in ps], _backreferences()))
     opening = r"(?iU)^[\s\p{Z}\"„'*#>-]*(?:" + opening + ")"
-    real = F.size(F.filter(F.array(*[F.lit(x) for x in CONTENT]), lambda x: F.contains(F.lower(text), x))) >= CONTENT_STEMS
-    return F.when(~text.rlike(opening), False).when(real, False).otherwise(~names_terms(words(F.regexp_replace(text, opening, " ")), terms))
+    return F.when(~text.rlike(opening), False).when(is_real(lower), False).otherwise(terms_named(F.lower(F.regexp_replace(text, opening, " ")), terms) <= F.size(terms) * TERM_SHARE)
 
 
 def _backreferences() -> list[int]:
@@ -133,19 +145,18 @@ def _backreferences() -> list[int]:
     return out
 
 
-def is_filler(w: Column, terms: Column) -> Column:
-    """Running words `w` (addresses and numbers aside) with next to no function word, that repeat themselves and don't name the stems `terms`."""
+def is_filler(w: Column, named: Column, terms: Column) -> Column:
+    """Running words `w` with next to no function word, that repeat themselves and name too few of the stems `terms`."""
     lists = F.array(*[F.lit(x) for x in FUNCTION_WORDS])
     n, kinds = F.size(w), F.size(F.array_distinct(w))
     functions = F.size(F.filter(w, lambda x: F.array_contains(lists, x)))
     few = F.size(F.array_intersect(w, lists)) <= n * FUNCTION_SHARE  # different ones are no more than all
-    return F.when((n >= FILLER_WORDS) & (kinds < n * FILLER_KINDS) & few, (functions <= n * FUNCTION_SHARE) & ~names_terms(w, terms)).otherwise(False)
+    return F.when((n >= FILLER_WORDS) & (kinds < n * FILLER_KINDS) & few, (functions <= n * FUNCTION_SHARE) & (named <= F.size(terms) * TERM_SHARE)).otherwise(False)
 
 
-def masked_form(text: Column) -> Column:
-    """Letters only, in lower case: numbers and codes (which hold digits) are masked, and so are remarks in brackets."""
-    t = F.regexp_replace(F.lower(text), r"\([^()]{0,40}\)|<[^<>]{0,40}>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*", " "), r"[^\p{L}]+", " "))
+def masked_form(w: Column) -> Column:
+    """A hash of the words `w` in order without those that hold digits, as numbers and codes do."""
+    return F.xxhash64(F.filter(w, lambda x: ~x.rlike("[0-9]")))
 
 
 def _read(records: DataFrame, table: str, id_col: str, text_col: str, url_col: str, title_col: str | None, signal_col: str | None, firm_col: str | None) -> DataFrame:
@@ -153,17 +164,19 @@ def _read(records: DataFrame, table: str, id_col: str, text_col: str, url_col: s
     text, url = F.col(text_col), F.coalesce(F.col(url_col), F.lit(""))
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
     path = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z]+://[^/?#]*", ""), r"[?#].*$|/+$", "")
-    t = records.filter(F.regexp_replace(text, r"[\s\p{Z}\x{feff}]+", "") != "").select(
+    t = records.filter(text.rlike(r"[^\s\p{Z}\x{feff}]")).select(
         F.lit(table).alias("record_table"), F.col(id_col).cast("bigint").alias("record_id"), text.alias("_text"), F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]+)", 1)).alias("_host"),
         F.lower(blank(title_col)).alias("_title"), F.concat_ws(" ", F.lower(blank(title_col)), F.regexp_replace(F.lower(F.regexp_extract(path, r"([^/]*)$", 1)), r"[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*", " "), F.lower(blank(signal_col))).alias("_about"), blank(firm_col).alias("_firm"),
     )
-    t = t.withColumn("_w", words(F.col("_text"))).withColumn("_terms", stems(words(F.col("_about"))))
+    # each of these is used more than once, so the optimizer leaves it where it is
+    t = t.withColumns({"_w": words(F.col("_text")), "_low": F.lower("_text"), "_terms": stems(words(F.col("_about")))})
+    t = t.withColumn("_named", terms_named(F.col("_low"), F.col("_terms")))
     context = F.when(F.lit(title_col is not None), F.col("_title")).otherwise(F.col("_firm"))
-    t = t.withColumns({"placeholder": has_placeholder(F.col("_text")), "response": is_response(F.col("_text"), F.col("_terms")), "filler": is_filler(words(F.regexp_replace("_text", r"\S*[@:/.][\p{L}\p{N}]\S*|\S*\p{N}\S*", " ")), F.col("_terms"))})
-    strange = (F.size("_terms") > 0) & (F.size(F.array_intersect(stems(F.col("_w")), "_terms")) == 0) & (F.col("_host") != "") & (context != "")
-    form = masked_form(F.col("_text"))
-    t = t.withColumn("_form", F.when(strange, F.when(form != "", F.xxhash64(form))))
-    return t.select("record_table", "record_id", "placeholder", "response", "filler", "_form", F.xxhash64("_host").alias("_h"), F.xxhash64(context).alias("_c"), F.lit(title_col is not None).alias("_titled"))
+    t = t.withColumns({"placeholder": has_placeholder(F.col("_text")), "response": is_response(F.col("_text"), F.col("_low"), F.col("_terms")), "filler": F.when(is_filler(F.col("_w"), F.col("_named"), F.col("_terms")), ~F.col("_text").rlike(r"[^\s(\[][@:/.][\p{L}\p{N}]")).otherwise(False)})
+    strange = (F.size("_terms") > 0) & (F.col("_named") == 0) & (F.col("_host") != "") & (context != "")
+    t = t.withColumn("_form", F.when(strange, F.when(~is_real(F.col("_low")), masked_form(F.col("_w")))))
+    row = F.struct("record_table", "record_id", "placeholder", "response", "filler", "_form", F.xxhash64("_host").alias("_h"), F.xxhash64(context).alias("_c"), F.lit(title_col is not None).alias("_titled"))
+    return t.select(F.inline(F.array(row)))  # a filter on what is generated isn't pushed below it, where all would be evaluated twice
 
 
 def residue_evidence(postings: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -175,10 +188,11 @@ def residue_evidence(postings: DataFrame, snapshots: DataFrame) -> DataFrame:
     t = _read(postings, "job_postings", "id", "description", "url", "title", None, None).unionByName(
         _read(snapshots, "contact_evidence_snapshots", "id", "evidence_text", "evidence_url", None, "evidence_signal", "company_id")
     )
-    forms = t.filter("_form is not null").groupBy("_form", "_h", "_c").agg(F.max("_titled").alias("_titled"))
+    t = cut(t.filter("placeholder or response or filler or _form is not null"))
+    forms = t.filter(F.col("_form") != masked_form(F.array().cast("array<string>"))).groupBy("_form", "_h", "_c").agg(F.max("_titled").alias("_titled"))
     served = forms.groupBy("_form").agg(F.approx_count_distinct("_c", 0.02).alias("_contexts"), F.approx_count_distinct("_h", 0.02).alias("_hosts"), F.max("_titled").alias("_titled"))
     served = served.filter((F.col("_contexts") >= LEAST_CONTEXTS) & (F.col("_hosts") >= LEAST_HOSTS) & F.col("_titled")).select("_form", F.lit(True).alias("_served"))
-    found = t.filter("placeholder or response or filler or _form is not null").join(served, "_form", "left").withColumn("served", F.coalesce("_served", F.lit(False)))
+    found = t.join(served, "_form", "left").withColumn("served", F.coalesce("_served", F.lit(False)))
     return found.filter("placeholder or response or filler or served").select("record_table", "record_id", "placeholder", "response", "filler", "served")
 
 
