@@ -25,6 +25,41 @@ def test_rules():
     assert {v: r.resolve(v) for v in CASES} == CASES
 
 
+MORE = [(21, "Jelenia Góra", "a"), (22, "Nowy Sącz", "a"), (23, "Gorzów Wielkopolski", "b"), (24, "Bydgoszcz", "b"), (25, "Częstochowa", "c"), (26, "Warszawa", "c"), (27, "Poznań", "d"), (28, "Kraków", "e")]
+
+
+def test_token_sets_edits_and_cases():
+    r = places.Resolver(MORE)
+    cases = {
+        "Góra Jelenia": 21, "Sącz Nowy": 22, "Wielkopolski Gorzów": 23, "wielkopolsky gorzuw": 23, "Bxdgoyzcz": 24, "Częxtoxhowa": 25, "Warszawie": 26, "Poznaniu": 27, "Krakowie": 28, "Bydgoscz " + "okna drzwi " * 30: 24,
+        "Warszawski": 0, "Nowy": 0, "Góra": 0, "Poznanianka": 0,
+    }
+    assert {v: r.resolve(v) for v in cases} == cases
+
+
+def test_similar_words_against_all_tokens():
+    rng = random.Random(7)
+    r = places.Resolver(ENTRIES + MORE)
+    words = sorted(r.tokens.keys() | r.joined.keys())
+    for _ in range(400):
+        w = list(rng.choice(words))
+        for _ in range(rng.randrange(0, 3)):
+            i = rng.randrange(len(w))
+            kind = rng.randrange(4)
+            if kind == 0:
+                w[i] = rng.choice("abcdxyz")
+            elif kind == 1:
+                w.insert(i, rng.choice("abcdxyz"))
+            elif kind == 2 and len(w) > 1:
+                del w[i]
+            elif i:
+                w[i - 1], w[i] = w[i], w[i - 1]
+        word = "".join(w)
+        want = {x: d for x in words if (d := places.within(word, x, places.edits_allowed(word))) is not None}
+        got = {x: d for x, d in r.alike(word).items() if d < 3}
+        assert got == want, word
+
+
 def test_empty_reference():
     assert places.Resolver([]).resolve("Klemibórz") == 0
 

@@ -4,8 +4,10 @@
    mentions embedded in a value in one pass; mentions are whole words, the longest
    non-overlapping ones win.
 2. Parts of the value without a mention go to token-set similarity: their tokens, less those that
-   never name a place, against the token sets of the names, where two tokens agree up to one edit
-   (two in long words). An index of single deletions finds the names to compare with.
+   never name a place, against the token sets of the names, in any order. A name is found when each of its tokens
+   agrees with a token of its own; tokens agree up to one edit (two in words of eight letters or more) or when the
+   value's one is a case of the other's. Indexes of single deletions, of pairs of letters and of beginnings find the
+   tokens to compare with; names typed in one word and words typed apart are compared joined.
 3. Region names in the value decide between entries of the same name. A value that names no entry,
    or several, maps to 0.
 
@@ -18,8 +20,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from os.path import commonprefix
 
 import ahocorasick
 import pandas as pd
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 
 #: Most entries of a reference list that is sent to every task (about 1 KB each with its aliases).
 MAX_ENTRIES = 200_000
-#: Longest value that is looked at by similarity; mentions are found in values of any length.
-NEAR_CHARS = 120
+#: Letters that begin a word and its cases alike, at least.
+BEGINNING = 4
 
 # Words of addresses and of job adverts that name no place.
 NOISE = frozenset(
@@ -43,6 +47,9 @@ LOCATIVE = (
     ("ow", "owie"), ("borz", "borzu"), ("brzeg", "brzegu"), ("ice", "icach"), ("ica", "icy"), ("cin", "cinie"), ("in", "inie"), ("iec", "cu"), ("grod", "grodzie"),
     ("dol", "dole"), ("leka", "lece"), ("slaw", "slawiu"), ("mierz", "mierzu"), ("wice", "wicach"),
 )
+# Endings of the cases in which places are named, and the endings of names that they replace.
+CASES = frozenset("u e y i a ie iu im ym em ej ach owie zie cie dzie rze ze ce le cu".split())
+REPLACED = frozenset(("", *"a e i y o ia ie ka ca ce iec ec".split()))
 ADJECTIVE = (("stary", "starym"), ("nowy", "nowym"), ("gorny", "gornym"), ("dolny", "dolnym"), ("wielki", "wielkim"), ("maly", "malym"))
 
 
@@ -91,6 +98,11 @@ def edits_allowed(word: str) -> int:
     return 0 if len(word) < 5 else 1 if len(word) < 8 else 2
 
 
+def _pairs(word: str) -> set[str]:
+    marked = f"^{word}$"
+    return {marked[i : i + 2] for i in range(len(marked) - 1)}
+
+
 def _shorter(word: str, most: int) -> set[str]:
     out = last = {word}
     for _ in range(most):
@@ -112,15 +124,33 @@ class Resolver:
         for name in self.by_name:
             for a in aliases(name):
                 self.forms.setdefault(a, set()).add(name)
+        self.spelt: dict[str, set[str]] = {}
+        for form, names in self.forms.items():
+            for name in names:
+                self.spelt.setdefault(name, set()).add(form)
         self.automaton = ahocorasick.Automaton()
         for form in self.forms:
             self.automaton.add_word(f" {form} ", form)
         self.automaton.make_automaton() if self.forms else None
-        # single deletions of every form lead to it; forms of several words are also found by their joined letters
+        # what a word of a value may stand for: a token of a name, or a form typed in one word
+        self.tokens: dict[str, set[str]] = {}  # token to names
+        self.joined: dict[str, set[str]] = {}  # joined form to names
+        for form, names in self.forms.items():
+            for w in form.split():
+                self.tokens.setdefault(w, set()).update(names)
+            self.joined.setdefault(form.replace(" ", ""), set()).update(names)
         self.near: dict[str, set[str]] = {}
-        for form in self.forms:
-            for s in _shorter(form.replace(" ", ""), 1):
-                self.near.setdefault(s, set()).add(form)
+        self.pairs: dict[str, list[str]] = {}
+        self.starts: dict[str, list[str]] = {}
+        for word in self.tokens.keys() | self.joined.keys():
+            for s in _shorter(word, 1):
+                self.near.setdefault(s, set()).add(word)
+            if len(word) > 5:  # a word of eight letters and one of two fewer
+                for g in _pairs(word):
+                    self.pairs.setdefault(g, []).append(word)
+            if len(word) > BEGINNING:
+                self.starts.setdefault(word[:BEGINNING], []).append(word)
+        self.alike = lru_cache(maxsize=200_000)(self._alike)
         self.resolve = lru_cache(maxsize=200_000)(self._resolve)
 
     def mentions(self, text: str) -> list[tuple[int, int, str]]:
@@ -134,26 +164,59 @@ class Resolver:
                 taken.append(m)
         return sorted(taken)
 
+    def _alike(self, word: str) -> dict[str, int]:
+        """The tokens and joined forms that a word agrees with, with the edits; a case counts as three."""
+        most = edits_allowed(word)
+        out = {word: 0} if word in self.tokens or word in self.joined else {}
+        if most:
+            found = {w for s in _shorter(word, 1) for w in self.near.get(s, ())}
+            if most > 1:  # two edits leave all pairs of letters but six
+                shared = Counter(w for g in _pairs(word) for w in self.pairs.get(g, ()))
+                found |= {w for w, n in shared.items() if n >= len(_pairs(word)) - 6}
+            for w in found:
+                d = within(word, w, most)
+                if d is not None:
+                    out[w] = min(d, out.get(w, d))
+        for w in self.starts.get(word[:BEGINNING], ()) if len(word) > BEGINNING else ():
+            n = len(commonprefix((word, w)))
+            if word[n:] in CASES and w[n:] in REPLACED:
+                out.setdefault(w, 3)
+        return out
+
     def similar(self, part: str, least_words: int = 1) -> set[str]:
-        """Names whose token set agrees with the tokens of a folded part that may name a place.
+        """Names all of whose tokens agree with tokens of a folded part that may name a place, in any order.
 
-        The names that cover most tokens win, of these the ones with the fewest edits. `least_words`
-        leaves out names that agree with fewer tokens.
+        The names that cover most words win, of these the ones with the fewest edits. `least_words`
+        leaves out names that agree with fewer words.
         """
         words = [w for w in part.split() if not w.isdigit() and len(w) > 1 and w not in NOISE]
         if not words or words[0] in STREET:
             return set()
         best: dict[str, tuple[int, int]] = {}
+        by_name: dict[str, dict[str, list[tuple[int, int]]]] = {}  # name, its token, (edits, place of the word)
         for i in range(len(words)):
-            for j in range(i + least_words, min(i + 3, len(words)) + 1):
-                span = "".join(words[i:j])
-                most = edits_allowed(span)
-                forms = {f for s in _shorter(span, 1) for f in self.near.get(s, ())} if most else ()
-                for form in forms:
-                    d = within(span, form.replace(" ", ""), most)
-                    if d is not None:
-                        for name in self.forms[form]:
-                            best[name] = min((-len(words[i:j]), d), best.get(name, (0, 99)))
+            for j in range(i + 1, min(i + 3, len(words)) + 1):
+                for w, d in self.alike("".join(words[i:j])).items():
+                    if j == i + 1:
+                        for name in self.tokens.get(w, ()):
+                            by_name.setdefault(name, {}).setdefault(w, []).append((d, i))
+                    for name in self.joined.get(w, ()):
+                        best[name] = min((i - j, d), best.get(name, (0, 99)))
+        for name, tokens in by_name.items():
+            for form in self.spelt[name]:
+                own = form.split()
+                if len(own) > 1 and all(t in tokens for t in own):
+                    edits, taken = 0, set()
+                    for t in sorted(own, key=lambda t: len(tokens[t])):
+                        free = [x for x in tokens[t] if x[1] not in taken]
+                        if not free:
+                            break
+                        d, i = min(free)
+                        taken.add(i)
+                        edits += d
+                    else:
+                        best[name] = min((-len(own), edits), best.get(name, (0, 99)))
+        best = {n: rank for n, rank in best.items() if -rank[0] >= least_words}
         first = min(best.values(), default=None)
         return {n for n, rank in best.items() if rank == first}
 
@@ -182,7 +245,7 @@ class Resolver:
         text = " ".join(parts)
         regions = self.region_of(text)
         for p in left:
-            if len(p) <= NEAR_CHARS and not (regions and self.region_of(p) and not names and len(p.split()) == 1):
+            if not (regions and self.region_of(p) and not names and len(p.split()) == 1):
                 names |= self.similar(p)
         if len(names) != 1:
             return 0
