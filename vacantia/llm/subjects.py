@@ -4,14 +4,18 @@
 2. A topic model with one topic per subject and `BACKGROUND` further ones is fitted to all documents by
    variational EM: tasks infer their documents' topic proportions under the current topics and return
    expected counts per bucket, which are summed by bucket; the driver holds the BUCKETS x topics matrix only.
-   The labelled samples (bounded, `MAX_SAMPLES`) give the starting point: words that tell subjects apart
-   start in their subject's topic, the others in the background.
+   Rounds go on until the likelihood of the words gains less than `TOLERANCE` of itself, `ROUNDS` at most.
+   The labelled samples (bounded, `MAX_SAMPLES`, drawn by a hash where there are more) give the starting point and a weak
+   prior (`PRIOR`): words that tell subjects apart start in their subject's topic, the others in the background.
 3. Topics are mapped to subjects by their top terms: the terms of the highest lift are looked up among the
    labelled samples, and a topic stands for the subject that most of them come from, or for none.
-4. A document's proportions are inferred with the fitted topics. Every sentence goes to the subject that
-   most of its weight falls to; a subject is given to a document when at least `SENTENCES` sentences with
-   `STEMS` different stems of it are about it (less than that is a passing mention or the name of a firm),
+4. A document's proportions are inferred with the fitted topics until they stand. Subjects with `PROPORTION` of what is
+   about any subject, or more, are proposed. A subject is given when the text is exactly checked to hold
+   `SENTENCES` sentences with `STEMS` different stems about it (less than that is a passing mention or the name of a firm),
    or, in short documents, `SHARE` of the sentences that are about anything.
+
+Inference works on whole arrays: documents of similar numbers of different stems are padded to one length, and a step
+over all of them is two products of matrices.
 """
 
 from __future__ import annotations
@@ -31,7 +35,13 @@ BUCKETS = 1 << 15
 BACKGROUND = 6
 STEM = 7
 ALPHA, ETA = 0.1, 0.02
-ROUNDS, INNER = 4, 12
+#: Most rounds, and the gain of likelihood below which they end; most steps in a document, and the change of proportions below which they end.
+ROUNDS, TOLERANCE = 12, 0.01
+INNER, STANDING = 40, 0.01
+#: How much of all words the labelled start counts for in each round.
+PRIOR = 0.3
+#: Least part of a document's words on subjects that proposes one.
+PROPORTION = 0.03
 #: Most labelled samples that the start is made of.
 MAX_SAMPLES = 20_000
 #: Most subjects; each is a topic of the matrix that the driver holds.
@@ -43,8 +53,8 @@ SENTENCES, STEMS, SHARE = 2, 4, 0.6
 SENTENCE_SHARE, SENTENCE_WORDS = 0.25, 1.2
 #: Distinct words whose buckets a task keeps.
 KEPT_WORDS = 500_000
-#: Words of documents that are inferred at once.
-SLICE_WORDS = 150_000
+#: Padded cells (documents times different stems) that are inferred at once.
+CELLS = 40_000
 
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _SENTENCE = re.compile(r"(?<=[.!?\u2026])[\s\u00a0]+|[\n\r\u2028\u2029\u2022]+|</?\w[^<>]{0,200}>")
@@ -72,34 +82,55 @@ def sentences(text: str | None) -> list[list[int]]:
 
 
 def _bags(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each document's different stems with their counts, and its stems in order with the lengths of its sentences."""
     for f in frames:
         read = [sentences(t) for t in f["text"]]
-        yield pd.DataFrame({"doc_id": f["doc_id"], "words": [[x for s in r for x in s] for r in read], "lengths": [[len(s) for s in r] for r in read]})
+        words = [np.array([x for s in r for x in s], np.int32) for r in read]
+        kinds, counts = zip(*(np.unique(w, return_counts=True) for w in words)) if words else ((), ())
+        yield pd.DataFrame({"doc_id": f["doc_id"], "kinds": pd.Series(kinds, dtype=object), "counts": pd.Series([c.astype(np.int32) for c in counts], dtype=object), "words": pd.Series(words, dtype=object), "lengths": [[len(s) for s in r] for r in read]})
 
 
-def infer(words: np.ndarray, owner: np.ndarray, n: int, log_free: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
-    """(topic proportions of n documents, responsibilities of their words) under the word weights `log_free`[bucket, topic]."""
-    beta = log_free[words]
-    theta = np.full((n, log_free.shape[1]), 1.0, np.float32)
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])[:-1]
-    for _ in range(inner):
-        r = beta * theta[owner]
-        r /= r.sum(axis=1, keepdims=True)
-        theta = np.add.reduceat(r, bounds, axis=0) + np.float32(ALPHA)
-        theta /= theta.sum(axis=1, keepdims=True)
-    return theta, r
+_BAG = "doc_id bigint, kinds array<int>, counts array<int>, words array<int>, lengths array<int>"
 
 
-def _batches(f: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, words, owners) of documents with words, in slices."""
-    counts = f["words"].map(len).to_numpy()
-    rows = np.flatnonzero(counts)
+def infer(kinds: np.ndarray, counts: np.ndarray, weights: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray, float]:
+    """(topic proportions, what each stem counts for in them, likelihood) of documents under `weights`[bucket, topic].
+
+    Rows of `kinds` are documents; cells with a count of 0 are padding. The second has a weight per cell, so that weight times
+    `weights` times proportions are the expected counts of the cell's topics.
+    """
+    beta, n = weights[kinds], counts.astype(np.float32)
+    theta = np.full((len(kinds), weights.shape[1]), 1.0 / weights.shape[1], np.float32)
+    total = n.sum(axis=1, keepdims=True)
+    for _ in range(inner):
+        share = n / np.matmul(beta, theta[:, :, None])[:, :, 0]
+        new = theta * np.matmul(share[:, None, :], beta)[:, 0, :] + np.float32(ALPHA)
+        new /= new.sum(axis=1, keepdims=True)
+        moved = float(np.abs(new - theta).max())
+        theta = new
+        if moved < STANDING:
+            break
+    like = np.matmul(beta, theta[:, :, None])[:, :, 0]
+    return theta, n / like, float((n * np.log(like)).sum()) if total.any() else 0.0
+
+
+def _padded(f: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, kinds, counts) of documents with words, padded to one length, those of similar lengths together."""
+    sizes = f["kinds"].map(len).to_numpy()
+    rows = np.flatnonzero(sizes)
+    rows = rows[np.argsort(sizes[rows], kind="stable")]
     lo = 0
     while lo < len(rows):
-        hi = lo + max(1, int(np.searchsorted(np.cumsum(counts[rows[lo:]]), SLICE_WORDS)))
-        part = rows[lo:hi]
+        hi = lo + 1
+        while hi < len(rows) and (hi + 1 - lo) * sizes[rows[hi]] <= CELLS and sizes[rows[hi]] <= 1.3 * sizes[rows[lo]] + 4:
+            hi += 1
+        part, width = rows[lo:hi], int(sizes[rows[hi - 1]])
         lo = hi
-        yield part, np.concatenate([np.asarray(w, np.int64) for w in f["words"].iloc[part]]), np.repeat(np.arange(len(part)), counts[part])
+        inside = np.arange(width) < sizes[part][:, None]
+        kinds, counts = np.zeros(inside.shape, np.int64), np.zeros(inside.shape, np.int64)
+        kinds[inside] = np.concatenate(list(f["kinds"].iloc[part]))
+        counts[inside] = np.concatenate(list(f["counts"].iloc[part]))
+        yield part, kinds, counts
 
 
 def start(samples: list[tuple[str, str]], subjects: list[str]) -> np.ndarray:
@@ -148,49 +179,56 @@ def map_topics(weights: np.ndarray, samples: list[tuple[str, str]], subjects: li
 
 
 def fit(bags: DataFrame, samples: list[tuple[str, str]], subjects: list[str], rounds: int = ROUNDS) -> np.ndarray:
-    """The topics' word weights after `rounds` of variational EM over all documents."""
+    """The topics' word weights after variational EM over all documents, until the likelihood stands."""
     spark = bags.sparkSession
     first = start(samples, subjects)
-    counts = first
+    k, counts, before = first.shape[1], first, None
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(topics(counts))  # BUCKETS x topics: 2 MB
 
         def expect(frames: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            weights, total = shared.value, None
+            weights, total, likelihood = shared.value, None, 0.0
             for f in frames:
-                for part, words, owner in _batches(f):
+                for _, kinds, n in _padded(f):
                     total = np.zeros(weights.shape) if total is None else total
-                    r = infer(words, owner, len(part), weights)[1]
+                    theta, share, like = infer(kinds, n, weights)
+                    likelihood += like
+                    inside = n > 0
+                    words = kinds[inside]
+                    r = (share[inside][:, None] * weights[words]) * np.repeat(theta, inside.sum(axis=1), axis=0)
                     order = np.argsort(words, kind="stable")
                     at = np.flatnonzero(np.diff(words[order], prepend=-1))
                     total[words[order][at]] += np.add.reduceat(r[order], at, axis=0, dtype=np.float64)
             if total is not None:
                 rows = np.flatnonzero(total.sum(axis=1) > 0)
-                yield pd.DataFrame({"bucket": rows, "counts": list(total[rows])})
+                yield pd.DataFrame({"bucket": np.append(rows, -1), "counts": [*total[rows], np.full(weights.shape[1], likelihood)]})
 
-        parts = bags.select("words").mapInPandas(expect, "bucket bigint, counts array<double>")
+        parts = bags.select("kinds", "counts").mapInPandas(expect, "bucket bigint, counts array<double>")
         # sums are rounded, so that their order doesn't show
-        k = first.shape[1]
-        summed = parts.groupBy("bucket").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(k)]).toPandas()
+        summed = parts.groupBy("bucket").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(k)]).toPandas().set_index("bucket")
+        likelihood = float(summed["c0"].pop(-1)) if -1 in summed.index else 0.0
+        summed = summed.drop(index=-1, errors="ignore")
         counts = np.zeros(first.shape)
-        counts[summed["bucket"].to_numpy(np.int64)] = np.round(summed[[f"c{i}" for i in range(k)]].to_numpy(float), 3)
-        counts += first * (0.2 * counts.sum() / max(1.0, first.sum()))  # the start stays as a prior
+        counts[summed.index.to_numpy(np.int64)] = np.round(summed.to_numpy(float), 3)
+        counts += first * (PRIOR * counts.sum() / max(1.0, first.sum()))  # the start stays as a prior
+        if before is not None and likelihood - before < TOLERANCE * abs(before):
+            break
+        before = likelihood
     return topics(counts)
 
 
-def assign(words: np.ndarray, owner: np.ndarray, lengths: np.ndarray, r: np.ndarray, subject_of: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, subjects) from the responsibilities `r` of all documents' words; `lengths` are those of their sentences."""
-    to_subject = np.zeros((r.shape[1], n), np.float32)
-    for k, s in enumerate(subject_of):
-        if s >= 0:
-            to_subject[k, s] = 1
-    of_word = r @ to_subject
+def assign(words: np.ndarray, owner: np.ndarray, lengths: np.ndarray, of_word: np.ndarray, proposed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, subjects): the `proposed`[document, subject] that sentences bear out.
+
+    `of_word` says how much of each word is about each subject; `lengths` are those of the sentences of all documents in a row.
+    """
+    docs, n = proposed.shape
+    of_word = of_word * proposed[owner]
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     about = np.add.reduceat(of_word, starts, axis=0)
     best = about.argmax(axis=1)
     top = about[np.arange(len(lengths)), best]
     clear = (top >= SENTENCE_WORDS) & (top >= SENTENCE_SHARE * lengths)
-    docs = int(owner[-1]) + 1
     found = np.bincount(owner[starts][clear] * n + best[clear], minlength=docs * n).reshape(docs, n)
     # different stems of the subject within its sentences
     subject = np.repeat(np.where(clear, best, 0), lengths)
@@ -201,6 +239,17 @@ def assign(words: np.ndarray, owner: np.ndarray, lengths: np.ndarray, r: np.ndar
     return np.nonzero(given)
 
 
+def subject_proportions(theta: np.ndarray, total: np.ndarray, subject_of: list[int], n: int) -> np.ndarray:
+    """The subjects' parts of the expected words on any subject, from the topic proportions of documents of `total` words."""
+    topics = theta.shape[1]
+    to_subject = np.zeros((topics, n), np.float32)
+    for k, s in enumerate(subject_of):
+        if s >= 0:
+            to_subject[k, s] = 1
+    own = np.maximum(theta * (total[:, None] + ALPHA * topics) - ALPHA, 0) @ to_subject
+    return own / np.maximum(own.sum(axis=1, keepdims=True), 1e-9)
+
+
 def document_subjects(documents: DataFrame, areas: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, subject: one row per document and subject a paragraph or more of it is about.
 
@@ -211,8 +260,8 @@ def document_subjects(documents: DataFrame, areas: DataFrame, samples: DataFrame
     subjects = sorted(r[0] for r in areas.select("subject").dropna().distinct().limit(MAX_SUBJECTS + 1).collect())
     if len(subjects) > MAX_SUBJECTS:
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
-    labelled = sorted(tuple(r) for r in samples.select("subject", "text").dropna().orderBy("sample_id").limit(MAX_SAMPLES).collect())
-    bags = cut(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").mapInPandas(_bags, "doc_id bigint, words array<int>, lengths array<int>"))
+    labelled = sorted(tuple(r) for r in samples.select("subject", "text", F.xxhash64("sample_id", "text").alias("_h")).dropna().orderBy("_h").limit(MAX_SAMPLES).select("subject", "text").collect())
+    bags = cut(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").mapInPandas(_bags, _BAG))
     schema = "doc_id bigint, subject string"
     if not subjects or not labelled or bags.isEmpty():
         return bags.select("doc_id", F.lit("").alias("subject")).limit(0)
@@ -224,12 +273,17 @@ def document_subjects(documents: DataFrame, areas: DataFrame, samples: DataFrame
         weights, subject_of = shared.value
         for f in frames:
             ids, names = [np.empty(0, np.int64)], []
-            for part, words, owner in _batches(f):
-                r = infer(words, owner, len(part), weights)[1]
-                lengths = np.concatenate([np.asarray(x, np.int64) for x in f["lengths"].iloc[part]])
-                doc, subject = assign(words, owner, lengths, r, subject_of, len(subjects))
+            for part, kinds, n in _padded(f):
+                theta = infer(kinds, n, weights)[0]
+                proposed = subject_proportions(theta, n.sum(axis=1), subject_of, len(subjects)) >= PROPORTION
+                sizes = f["words"].iloc[part].map(len).to_numpy()
+                words, owner = np.concatenate(list(f["words"].iloc[part])).astype(np.int64), np.repeat(np.arange(len(part)), sizes)
+                r = weights[words] * theta[owner]
+                r /= r.sum(axis=1, keepdims=True)
+                of_word = np.stack([r[:, [k for k, s in enumerate(subject_of) if s == i]].sum(axis=1) for i in range(len(subjects))], axis=1)
+                doc, subject = assign(words, owner, np.concatenate(list(f["lengths"].iloc[part])).astype(np.int64), of_word, proposed)
                 ids.append(f["doc_id"].to_numpy()[part[doc]])
                 names += [subjects[s] for s in subject]
             yield pd.DataFrame({"doc_id": np.concatenate(ids), "subject": pd.Series(names, dtype=object)})
 
-    return bags.mapInPandas(label, schema)
+    return bags.select("doc_id", "kinds", "counts", "words", "lengths").mapInPandas(label, schema)
