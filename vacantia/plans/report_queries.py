@@ -201,7 +201,7 @@ _KEY = "JOIN (SELECT id AS company_id, company_key, canonical_name FROM companie
 
 
 def _plain(c: str, alias: str | None = None) -> str:
-    return f"CASE WHEN {c} <= 1e308 THEN {c} END AS {alias or c.split('.')[-1]}"
+    return f"CASE WHEN {c}::VARCHAR NOT IN ('nan', '-nan') THEN {c} END AS {alias or c.split('.')[-1]}"
 
 
 SQL = {
