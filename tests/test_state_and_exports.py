@@ -4,11 +4,13 @@ import hashlib
 import json
 import zipfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from vacantia.evaluation import metrics, sampling
 from vacantia.operators import state
-from vacantia.sinks.files import write_bundle, write_xlsx
+from vacantia.sinks.files import write_bundle, write_csv, write_export, write_xlsx
 from vacantia.streaming import ingest
 
 
@@ -48,6 +50,15 @@ def test_bundle_and_sheet(spark, tmp_path):
     m = write_bundle({"rows": df}, str(tmp_path / "b"), notes=["n"])
     data = (tmp_path / "b" / "rows.csv").read_bytes()
     assert data.startswith("﻿id,t,n\n".encode()) and m["files"] == {"rows.csv": 2} and json.loads((tmp_path / "b" / "manifest.json").read_text())["schema_version"] == 8
+    assert sorted(p.name for p in (tmp_path / "b").iterdir() if not p.name.startswith(".")) == ["manifest.json", "rows.csv"]
+    assert write_csv(df.limit(1), str(tmp_path / "b" / "rows.csv")) == 1 and write_export(df, f"file://{tmp_path}/j", "json") == 2
+    with pytest.raises(ValueError):
+        write_export(df, str(tmp_path / "x"), "parquet")
+    with pytest.raises(ValueError):
+        write_xlsx(df, str(tmp_path / "b.xlsx"), most_rows=1)
+    assert write_xlsx(df.select("*", *[F.lit(i).alias(f"c{i}") for i in range(30)]), str(tmp_path / "wide.xlsx")) == 2
+    with zipfile.ZipFile(tmp_path / "wide.xlsx") as z:
+        assert 'ref="A1:AG3"' in z.read("xl/worksheets/sheet1.xml").decode()
     assert write_xlsx(df, str(tmp_path / "a.xlsx")) == 2
     with zipfile.ZipFile(tmp_path / "a.xlsx") as z:
         assert "ł" in z.read("xl/worksheets/sheet1.xml").decode()

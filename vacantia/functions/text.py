@@ -67,12 +67,20 @@ def firm_names(values: pd.Series) -> pd.Series:
 LEGAL_PATTERN = r"\b(?:" + "|".join(LEGAL_FORMS) + r")\b"
 
 
-def without_legal_forms(folded_name: Column, rounds: int = 2) -> Column:
-    """Native form of `firm_name` for folded names: `rounds` passes of one pattern."""
-    out = folded_name
-    for _ in range(rounds):
-        out = F.trim(F.regexp_replace(F.regexp_replace(out, LEGAL_PATTERN, " "), r"\s+", " "))
-    return out
+def without_legal_forms(folded_name: Column) -> Column:
+    """Native form of `firm_name` for folded names: passes of one pattern until nothing is left to take away.
+
+    A pass that changes a name takes a word of it at least, so there are as many passes as words; most end with the first two.
+    """
+
+    def once(name: Column) -> Column:
+        return F.trim(F.regexp_replace(F.regexp_replace(name, LEGAL_PATTERN, " "), r"\s+", " "))
+
+    def step(held: Column, _: Column) -> Column:
+        return F.when(held["done"], held).otherwise(F.transform(F.array(once(held["name"])), lambda x: F.struct(x.alias("name"), (x == held["name"]).alias("done")))[0])
+
+    first = F.struct(folded_name.alias("name"), F.lit(False).alias("done"))
+    return F.aggregate(F.split(folded_name, " "), first, step, lambda held: held["name"])
 
 
 def firm_key(name: Column, city: Column) -> Column:

@@ -91,9 +91,8 @@ def _literal_map(values: dict[str, int]) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    """Without blanks of any kind at either end; NULL for texts longer than any pattern reaches."""
-    t = F.regexp_replace(text, r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")
-    return F.when(F.length(text) <= 256, t)
+    """Without blanks of any kind at either end."""
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r\u00a0\ufeff"))
 
 
 def _rearranged(p: Pattern, monthly: bool) -> str:

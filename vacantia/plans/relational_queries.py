@@ -25,7 +25,7 @@ def host_sql(column: str) -> str:
     return _HOST.format(column)
 
 
-def legal_sql(expression: str, rounds: int = 2) -> str:
+def legal_sql(expression: str, rounds: int = 7) -> str:
     for _ in range(rounds):
         expression = f"trim(regexp_replace(regexp_replace({expression}, '{LEGAL_PATTERN}', ' ', 'g'), '\\s+', ' ', 'g'))"
     return expression
@@ -233,24 +233,13 @@ def sample_allocation(spark, sf):
     return sampling.allocation(p.groupBy(F.concat_ws("|", "source", F.coalesce("company_resolution_method", F.lit("legacy"))).alias("stratum")).agg(F.count("*").alias("n")), 200, "seed")
 
 
-def review_block_pairs(spark, sf):
-    """Pairs of companies of different names that share a rare word of the name and the city."""
-    c = table(spark, sf, "companies").select("id", "normalized_name", "normalized_city").filter("normalized_city is not null")
-    words = c.select("id", "normalized_name", "normalized_city", F.explode(F.array_distinct(F.split("normalized_name", " "))).alias("word")).filter(F.length("word") >= 5)
-    seen = words.groupBy("word").agg(F.count("*").alias("df")).filter("df <= 20")
-    w = words.join(seen.select("word"), "word")
-    a, b = w.alias("a"), w.alias("b")
-    on = (F.col("a.word") == F.col("b.word")) & (F.col("a.normalized_city") == F.col("b.normalized_city")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.normalized_name") != F.col("b.normalized_name"))
-    return a.join(b, on).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-
-
 def _firms(spark, sf):
     c = table(spark, sf, "companies").filter("normalized_name is not null")
     sure = [F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double")).alias(y) for x, y in (("website_confidence", "website_confidence"), ("identity_confidence", "confidence"))]
     return c.select("id", F.col("normalized_name").alias("name"), F.col("normalized_city").alias("city"), "website_url", *sure)
 
 
-def review_all_block_pairs(spark, sf):
+def review_block_pairs(spark, sf):
     """Pairs of companies that share a word of 4 letters, first or last letters or a sure website, in any city."""
     return review.blocked_pairs(_firms(spark, sf))
 
@@ -307,7 +296,7 @@ QUERIES = {f.__name__: f for f in (
     jobs_current_view, jobs_upsert_stats, source_job_counts, company_aliases_accumulated, company_locations_accumulated, company_list, green_channels, best_channel_per_kind, top3_evidence_hosts,
     identifier_current, identifier_conflicts, identifier_conflicting_rows, identifier_audit, overlap_by_source, overlap_pairwise, overlap_global, source_identity_metrics, resolution_method_stats, source_provenance_metrics,
     source_run_metrics, source_health, downstream_by_source, latest_snapshots, evidence_changes, evidence_hash_check, attempts_first_accepted, benchmark_counts, confidence_bands, contact_confusion, contact_metrics, website_eval,
-    leads, shared_contacts, pairwise_resolution_eval, label_status, stratified_sample, sample_allocation, review_block_pairs, review_all_block_pairs, review_scored_pairs, url_hosts, emails_in_text, folded_names, run_windows,
+    leads, shared_contacts, pairwise_resolution_eval, label_status, stratified_sample, sample_allocation, review_block_pairs, review_scored_pairs, url_hosts, emails_in_text, folded_names, run_windows,
 )}
 
 _FP = f"""fps AS (SELECT DISTINCT lower(trim(source)) AS source, {legal_sql(fold_sql('company_name_raw'))} || '|' || {fold_sql('title')} || '|' || coalesce({fold_sql('city')}, '') AS fp
@@ -394,7 +383,16 @@ SQL = {
     "label_status": "WITH x AS (SELECT CASE WHEN id % 4 = 0 THEN '' WHEN id % 13 = 0 THEN '__exclude__' ELSE coalesce(lower(trim(decision)), '') END AS v FROM contact_channels) SELECT count(*) AS total, count(*) FILTER (WHERE v = '') AS blank, count(*) FILTER (WHERE v = '__exclude__') AS excluded, count(*) FILTER (WHERE v IN ('green', 'review', 'ignore')) AS labelled, count(*) FILTER (WHERE v NOT IN ('', '__exclude__', 'green', 'review', 'ignore')) AS invalid FROM x",
     "stratified_sample": f"WITH {_STRATA}, {_TAKE} SELECT id, source, method FROM (SELECT id, source, coalesce(company_resolution_method, 'legacy') AS method, source || '|' || coalesce(company_resolution_method, 'legacy') AS stratum, row_number() OVER (PARTITION BY source || '|' || coalesce(company_resolution_method, 'legacy') ORDER BY sha256('seed' || chr(31) || 'row' || chr(31) || id::VARCHAR)) AS rn FROM job_postings) JOIN take USING (stratum) WHERE rn <= take",
     "sample_allocation": f"WITH {_STRATA}, {_TAKE} SELECT * FROM take",
-    "review_block_pairs": "WITH w AS (SELECT DISTINCT id, normalized_name AS n, normalized_city AS c, unnest(string_split(normalized_name, ' ')) AS word FROM companies WHERE normalized_city IS NOT NULL), r AS (SELECT word FROM w WHERE length(word) >= 5 GROUP BY 1 HAVING count(*) <= 20), k AS (SELECT w.* FROM w JOIN r USING (word)) SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.word = b.word AND a.c = b.c AND a.id < b.id AND a.n <> b.n",
+    "review_block_pairs": f"""
+        WITH f AS (
+            SELECT id, normalized_name AS name, replace(normalized_name, ' ', '') AS bare, {host_sql("website_url")} AS host, website_confidence::VARCHAR NOT IN ('nan', '-nan') AND website_confidence >= 0.8 AS sure
+            FROM companies WHERE normalized_name IS NOT NULL),
+        k AS (
+            SELECT id, 'token ' || w AS key FROM (SELECT id, unnest(string_split(name, ' ')) AS w FROM f) WHERE length(w) >= 4
+            UNION SELECT id, 'prefix ' || left(bare, 4) FROM f WHERE length(bare) >= 6
+            UNION SELECT id, 'suffix ' || right(bare, 4) FROM f WHERE length(bare) >= 6
+            UNION SELECT id, 'website ' || host FROM f WHERE sure AND host IS NOT NULL)
+        SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.key = b.key AND a.id < b.id""",
     "url_hosts": f"SELECT {host_sql('url')} AS host, count(*) AS postings FROM job_postings GROUP BY 1",
     "emails_in_text": r"SELECT email, count(*) AS snapshots FROM (SELECT DISTINCT id, unnest(regexp_extract_all(lower(evidence_text), '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}')) AS email FROM contact_evidence_snapshots) GROUP BY 1",
     "folded_names": f"SELECT id, {legal_sql(fold_sql('company_name_raw'))} AS name, {fold_sql('city')} AS city FROM job_postings",

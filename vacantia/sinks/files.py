@@ -4,53 +4,100 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import uuid
 import zipfile
-from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
+
+
+def _files(df: DataFrame, path: str):
+    """The file system of a path and the path in it, as the cluster's Hadoop configuration says."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    fs.setWriteChecksum(False)
+    return jvm, conf, fs, fs.makeQualified(target)
+
+
+def _replace(jvm, conf, staged, target) -> None:
+    """`staged` takes the place of `target` in one step."""
+    options = jvm.org.apache.hadoop.fs.Options.Rename
+    array = jvm.java.lang.reflect.Array.newInstance(options.OVERWRITE.getClass(), 1)
+    jvm.java.lang.reflect.Array.set(array, 0, options.OVERWRITE)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(staged, target, array)
 
 
 def write_csv(df: DataFrame, path: str) -> int:
     """One UTF-8 CSV file with BOM and header; the number of its rows.
 
-    Tasks write their parts in parallel; the parts are then appended to a temporary file that replaces
-    the target at once.
+    Tasks write their parts in parallel beside the target, in whatever file system that is; the parts are then appended to a
+    temporary file there that replaces the target at once. Rows are counted as they are written.
     """
-    work = Path(f"{path}.{uuid.uuid4().hex}")
-    df.write.option("header", False).option("escape", '"').option("quoteAll", False).option("emptyValue", "").csv(str(work))
-    staged = Path(f"{work}.csv")
-    with staged.open("wb") as out:
-        out.write("﻿".encode() + (",".join(df.columns) + "\n").encode())
-        for part in sorted(work.glob("part-*.csv")):
-            with part.open("rb") as f:
-                shutil.copyfileobj(f, out)
-        out.flush()
-        os.fsync(out.fileno())
-    os.replace(staged, path)
-    shutil.rmtree(work)
-    return df.count()
+    jvm, conf, fs, target = _files(df, path)
+    work = jvm.org.apache.hadoop.fs.Path(f"{target.toString()}.{uuid.uuid4().hex}")
+    staged = jvm.org.apache.hadoop.fs.Path(f"{work.toString()}.csv")
+    seen = Observation(uuid.uuid4().hex)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("header", False).option("escape", '"').option("quoteAll", False).option("emptyValue", "").csv(work.toString())
+    out = fs.create(staged, True)
+    try:
+        out.write(bytearray("\ufeff".encode() + (",".join(df.columns) + "\n").encode()))
+        for name in sorted(f.getPath().toString() for f in fs.listStatus(work) if f.getPath().getName().startswith("part-")):
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    _replace(jvm, conf, staged, target)
+    fs.delete(work, True)
+    return int(seen.get["rows"])
 
 
 def write_bundle(frames: dict[str, DataFrame], folder: str, version: int = 8, notes: list[str] | None = None) -> dict:
     """A CSV per frame and manifest.json with their counts."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
     counts = {name: write_csv(df, f"{folder}/{name}.csv") for name, df in frames.items()}
     manifest = {"schema_version": version, "files": {f"{n}.csv": c for n, c in counts.items()}, "notes": notes or []}
-    staged = Path(folder, f"manifest.{uuid.uuid4().hex}")
-    staged.write_text(json.dumps(manifest, ensure_ascii=False, indent=2), encoding="utf-8")
-    os.replace(staged, Path(folder, "manifest.json"))
+    write_json(next(iter(frames.values())), manifest, f"{folder}/manifest.json")
     return manifest
 
 
-def _cell(row: int, column: int, value) -> str:
+def write_json(df: DataFrame, report: dict | list, path: str) -> None:
+    """A small report as JSON at a path of any file system the session of `df` knows; it replaces an older one at once."""
+    jvm, conf, fs, target = _files(df, path)
+    staged = jvm.org.apache.hadoop.fs.Path(f"{target.toString()}.{uuid.uuid4().hex}")
+    out = fs.create(staged, True)
+    try:
+        out.write(bytearray(json.dumps(report, ensure_ascii=False, indent=2).encode()))
+    finally:
+        out.close()
+    _replace(jvm, conf, staged, target)
+
+
+def write_export(df: DataFrame, path: str, kind: str) -> int:
+    """Rows as one CSV file, or as JSON lines in a folder; the number of rows. Raises for other kinds."""
+    if kind == "csv":
+        return write_csv(df, path)
+    if kind == "json":
+        seen = Observation(uuid.uuid4().hex)
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").json(path)
+        return int(seen.get["rows"])
+    raise ValueError(f"no export of the kind {kind}")
+
+
+def _letters(n: int) -> str:
+    """The name of column n, counted from 1."""
     name = ""
-    n = column + 1
     while n:
         n, r = divmod(n - 1, 26)
         name = chr(65 + r) + name
+    return name
+
+
+def _cell(row: int, column: int, value) -> str:
+    name = _letters(column + 1)
     if value is None:
         return ""
     if isinstance(value, (int, float)) and not isinstance(value, bool):
@@ -59,10 +106,8 @@ def _cell(row: int, column: int, value) -> str:
 
 
 def write_xlsx(df: DataFrame, path: str, sheet: str = "Leads", most_rows: int = 1_000_000) -> int:
-    """A spreadsheet of one sheet with frozen header and filter. Raises beyond what a sheet holds."""
-    if df.limit(most_rows + 1).count() > most_rows:
-        raise ValueError(f"a sheet holds {most_rows} rows")
-    last, n = chr(64 + min(26, len(df.columns))), 1
+    """A spreadsheet of one sheet with frozen header and filter, on the driver's machine. Raises beyond what a sheet holds."""
+    last, n = _letters(max(1, len(df.columns))), 1
     staged = f"{path}.{uuid.uuid4().hex}"
     with zipfile.ZipFile(staged, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
@@ -74,6 +119,9 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "Leads", most_rows: int =
             out.write(f'<row r="1">{"".join(_cell(1, i, c) for i, c in enumerate(df.columns))}</row>'.encode())
             for row in df.toLocalIterator():  # a partition at a time
                 n += 1
+                if n > most_rows + 1:
+                    os.remove(staged)
+                    raise ValueError(f"a sheet holds {most_rows} rows")
                 out.write(f'<row r="{n}">{"".join(_cell(n, i, v) for i, v in enumerate(row))}</row>'.encode())
             out.write(f'</sheetData><autoFilter ref="A1:{last}{n}"/></worksheet>'.encode())
     os.replace(staged, path)
