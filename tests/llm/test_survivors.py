@@ -1,4 +1,4 @@
-"""Survivors by skyline against a plain sort of every group."""
+"""Survivors against a plain sort of every group and against layers peeled one by one."""
 
 import math
 import random
@@ -60,6 +60,22 @@ def test_random_groups_with_ties_nulls_and_a_hot_group(spark):
         assert {tuple(r) for r in got} == model(rows) and len(got) == len(model(rows))
 
 
+def test_layers_peeled_one_by_one_give_the_same():
+    """Skylines of all records of a group, peeled one by one; the policy picks within the first layer that has the field."""
+    rng = random.Random(11)
+    for _ in range(300):
+        # has, trust, -confidence, -recency, id: less is better, a record that has the field is the better one
+        rs = [(rng.randrange(2), rng.randrange(3), -rng.randrange(3), -rng.randrange(4), i) for i in range(rng.randrange(1, 14))]
+        better = lambda a, b: a[0] >= b[0] and all(x <= y for x, y in zip(a[1:4], b[1:4])) and a[:4] != b[:4]
+        left, filled, layer = list(rs), None, 0
+        while left and filled is None:
+            layer += 1
+            top = [r for r in left if not any(better(o, r) for o in left)]
+            filled = min((r[1:] for r in top if r[0]), default=None)
+            left = [r for r in left if r not in top]
+        assert filled == min((r[1:] for r in rs if r[0]), default=None) and (filled is None or layer == 1)
+
+
 def test_empty_tables_and_repeated_rows(spark):
     rows = rows_of(4, 40, 4)
     df = spark.createDataFrame(rows, SCHEMA)
