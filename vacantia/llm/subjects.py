@@ -85,9 +85,13 @@ def _bags(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each document's different stems with their counts, and its stems in order with the lengths of its sentences."""
     for f in frames:
         read = [sentences(t) for t in f["text"]]
-        words = [np.array([x for s in r for x in s], np.int32) for r in read]
-        kinds, counts = zip(*(np.unique(w, return_counts=True) for w in words)) if words else ((), ())
-        yield pd.DataFrame({"doc_id": f["doc_id"], "kinds": pd.Series(kinds, dtype=object), "counts": pd.Series([c.astype(np.int32) for c in counts], dtype=object), "words": pd.Series(words, dtype=object), "lengths": [[len(s) for s in r] for r in read]})
+        words = [[x for s in r for x in s] for r in read]
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = np.fromiter((x for w in words for x in w), np.int64, int(sizes.sum()))
+        keys, counts = np.unique(np.repeat(np.arange(len(read)), sizes) * BUCKETS + flat, return_counts=True)
+        cuts = np.searchsorted(keys, np.arange(1, len(read)) * BUCKETS)
+        split = lambda x: pd.Series(np.split(x.astype(np.int32), cuts) if len(read) else [], dtype=object)
+        yield pd.DataFrame({"doc_id": f["doc_id"], "kinds": split(keys % BUCKETS), "counts": split(counts), "words": pd.Series(words, dtype=object), "lengths": [[len(s) for s in r] for r in read]})
 
 
 _BAG = "doc_id bigint, kinds array<int>, counts array<int>, words array<int>, lengths array<int>"
