@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.plans import pipeline_queries, relational_queries, report_queries, timestamp_queries
+from vacantia.plans import label_queries, pipeline_queries, relational_queries, report_queries, timestamp_queries
 
-MODULES = [relational_queries, pipeline_queries, report_queries, timestamp_queries]
+MODULES = [relational_queries, pipeline_queries, report_queries, label_queries, timestamp_queries]
 
 #: The query that `entry` runs.
 FLAGSHIP = "overlap_by_source"
