@@ -10,8 +10,8 @@ shingles either has.
    once, bucketed by text, so the joins of steps 4 and 5 move pairs, never sketches, and dropped when the pairs are known.
 3. Texts that agree on a band are candidates: one equi-join on the band's hash. This is the index of the method;
    distances to pivots order no space of this kind, as unrelated texts all lie near the same distance from every pivot.
-4. `PIVOTS` reference fingerprints are drawn from a sample of `SAMPLE` texts, the ones that share bands with most others:
-   where families of texts are large, they are the references. Each text gets its Hamming distances to all of them once
+4. `PIVOTS` reference fingerprints are drawn from a sample of `SAMPLE` texts, the ones that share bands with most
+   texts that are no duplicates of theirs. Each text gets its Hamming distances to all of them once
    (the pivot table). By the triangle inequality the largest difference of two rows of the table is at most the
    distance of the texts, so pairs with a coordinate further apart than `FAR` are discarded, then pairs
    whose distance itself is. `FAR` is five standard deviations above the mean at the threshold.
@@ -42,7 +42,7 @@ from vacantia.session import cut, ensure_checkpoint_dir
 THRESHOLD = (6, 10)
 WORDS = 3
 BANDS, ROWS = 48, 4
-PIVOTS, SAMPLE = 32, 4096
+PIVOTS, SAMPLE, MATES = 32, 4096, 256
 #: Keys of one text from which it is salted, at least; never more than `HOT_TEXTS` texts are.
 HOT, HOT_TEXTS, SALT = 5_000, 100_000, 32
 #: Most bits in which fingerprints of a pair at the threshold differ: mean 38.4, deviation 5.5.
@@ -122,18 +122,26 @@ def band_hashes(minima: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(22)) | (band << np.uint64(42))).view(np.int64)
 
 
-def references(fps: np.ndarray, bands: np.ndarray, most: int = PIVOTS) -> np.ndarray:
-    """The rows of at most `most` fingerprints whose texts share bands with most others of the sample, no two of one band."""
-    values, at, n = np.unique(bands, return_inverse=True, return_counts=True)
-    at = at.reshape(bands.shape)
-    mates = (n[at] - 1).sum(axis=1)
-    used, out = np.zeros(len(values), bool), []
-    for i in np.argsort(-mates, kind="stable"):
-        if len(out) == most:
+def references(fps: np.ndarray, bands: np.ndarray, most: int = PIVOTS, far: int = FAR) -> np.ndarray:
+    """At most `most` fingerprints of the sample that discard most: those that share bands with most texts they are far from, far from one another.
+
+    Of a band that very many share, the first `MATES` are looked at.
+    """
+    apart = lambda x, y: np.bitwise_count(x.view(np.uint64)[:, None, :] ^ y.view(np.uint64)[None]).sum(axis=2)
+    false = np.zeros(len(fps), np.int64)
+    order = np.argsort(bands, axis=None, kind="stable")
+    values, owner = bands.ravel()[order], order // bands.shape[1]
+    starts = np.flatnonzero(np.diff(values, prepend=values[:1] - 1))
+    for lo, hi in zip(starts, [*starts[1:], len(values)]):
+        if hi - lo > 1:
+            held = owner[lo:hi][:MATES]
+            np.add.at(false, held, (apart(fps[held], fps[held]) > far).sum(axis=1))
+    out: list[int] = []
+    for i in np.argsort(-false, kind="stable"):
+        if len(out) == most or (not false[i] and out):
             break
-        if not used[at[i]].any():
-            used[at[i]] = True
-            out.append(i)
+        if not out or apart(fps[[i]], fps[out]).min() > far // 2:
+            out.append(int(i))
     return fps[out]
 
 
