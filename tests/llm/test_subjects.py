@@ -60,7 +60,7 @@ def test_inference_runs_until_proportions_stand():
 
 
 def test_rounds_end_where_the_likelihood_stands(spark, tables, monkeypatch):
-    bags = spark.createDataFrame(pd.concat(sj._bags([tables["documents"].select("doc_id", "text").limit(80).toPandas()])), sj._BAG)
+    bags = tables["documents"].select("doc_id", "text").limit(80).mapInArrow(sj._bags, sj._BAG)
     samples = [(r.subject, r.text) for r in tables["subject_samples"].collect()]
     made = []
     monkeypatch.setattr(sj, "topics", lambda c, real=sj.topics: made.append(1) or real(c))

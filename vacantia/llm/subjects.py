@@ -20,12 +20,13 @@ over all of them is two products of matrices.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,42 +57,64 @@ KEPT_WORDS = 500_000
 #: Padded cells (documents times different stems) that are inferred at once.
 CELLS = 40_000
 
-_WORD = re.compile(r"[^\W\d_]{3,}")
-_SENTENCE = re.compile(r"(?<=[.!?\u2026])[\s\u00a0]+|[\n\r\u2028\u2029\u2022]+|</?\w[^<>]{0,200}>")
+_BLANKS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Signs without width, which hide word and sentence ends.
-_HIDDEN = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
+_HIDDEN = r"[\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]"
+#: Ends of sentences: blanks after a full stop and the like, line ends and bullets, markup.
+_SENTENCE = rf"[.!?\x{{2026}}][{_BLANKS}]+|[\n\r\x{{2028}}\x{{2029}}\x{{2022}}]+|</?[\pL\pN_][^<>]{{0,200}}>"
 
 
 class _Buckets(dict):
-    """Buckets of the words a task has met."""
+    """Buckets of the stems of the words a task has met; -1 for the end of a sentence, -2 for words too short to tell anything."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > KEPT_WORDS:
             self.clear()
-        self[word] = b = zlib.crc32(word[:STEM].encode()) % BUCKETS
+        self[word] = b = -1 if word == "\n" else -2 if len(word) < 3 else zlib.crc32(word[:STEM].encode()) % BUCKETS
         return b
 
 
 _BUCKET_OF = _Buckets()
 
 
+def read_texts(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets of the word stems of all texts in a row, number of them per text, number of its sentence for each).
+
+    Sentences are numbered through all texts; those without words have no number that occurs.
+    """
+    t = pc.fill_null(pc.cast(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), pa.large_string()), "")
+    t = pc.replace_substring_regex(pc.utf8_lower(t), _HIDDEN, "")
+    t = pc.replace_substring_regex(pc.replace_substring_regex(t, _SENTENCE, "\n"), r"[^\pL\n]+", " ")
+    lists = pc.split_pattern(pc.replace_substring(t, "\n", " \n "), " ")
+    coded = pc.dictionary_encode(lists.flatten())
+    known = np.array([_BUCKET_OF[w] for w in coded.dictionary.to_pylist()] or [0], np.int64)
+    flat = known[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    sentence = np.cumsum(flat == -1) + owner  # a text starts a sentence too
+    words = flat >= 0
+    return flat[words], np.bincount(owner[words], minlength=len(lists)), sentence[words]
+
+
 def sentences(text: str | None) -> list[list[int]]:
     """The buckets of the word stems of each sentence that has any."""
-    look, words = _BUCKET_OF.__getitem__, _WORD.findall
-    return [w for s in _SENTENCE.split(_HIDDEN.sub("", (text or "").lower())) if (w := list(map(look, words(s))))]
+    flat, _, sentence = read_texts([text])
+    return [x.tolist() for x in np.split(flat, np.flatnonzero(np.diff(sentence)) + 1) if len(x)]
+
+
+def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, text) to each document's different stems with their counts, and its stems in order with the lengths of its sentences."""
+    for batch in batches:
+        n = batch.num_rows
+        flat, sizes, sentence = read_texts(batch.column(1))
+        owner = np.repeat(np.arange(n), sizes)
+        keys, counts = np.unique(owner * BUCKETS + flat, return_counts=True)
+        at = np.flatnonzero(np.diff(sentence, prepend=-1))
 
+        def lists(x: np.ndarray, of: np.ndarray, n: int = n) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(x.astype(np.int32)))
 
-def _bags(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each document's different stems with their counts, and its stems in order with the lengths of its sentences."""
-    for f in frames:
-        read = [sentences(t) for t in f["text"]]
-        words = [[x for s in r for x in s] for r in read]
-        sizes = np.array([len(w) for w in words], np.int64)
-        flat = np.fromiter((x for w in words for x in w), np.int64, int(sizes.sum()))
-        keys, counts = np.unique(np.repeat(np.arange(len(read)), sizes) * BUCKETS + flat, return_counts=True)
-        cuts = np.searchsorted(keys, np.arange(1, len(read)) * BUCKETS)
-        split = lambda x: pd.Series(np.split(x.astype(np.int32), cuts) if len(read) else [], dtype=object)
-        yield pd.DataFrame({"doc_id": f["doc_id"], "kinds": split(keys % BUCKETS), "counts": split(counts), "words": pd.Series(words, dtype=object), "lengths": [[len(s) for s in r] for r in read]})
+        columns = [batch.column(0), lists(keys % BUCKETS, keys // BUCKETS), lists(counts, keys // BUCKETS), lists(flat, owner), lists(np.diff(np.append(at, len(flat))), owner[at])]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BAG.split(", ")])
 
 
 _BAG = "doc_id bigint, kinds array<int>, counts array<int>, words array<int>, lengths array<int>"
@@ -265,7 +288,7 @@ def document_subjects(documents: DataFrame, areas: DataFrame, samples: DataFrame
     if len(subjects) > MAX_SUBJECTS:
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     labelled = sorted(tuple(r) for r in samples.select("subject", "text", F.xxhash64("sample_id", "text").alias("_h")).dropna().orderBy("_h").limit(MAX_SAMPLES).select("subject", "text").collect())
-    bags = cut(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").mapInPandas(_bags, _BAG))
+    bags = cut(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").mapInArrow(_bags, _BAG))
     schema = "doc_id bigint, subject string"
     if not subjects or not labelled or bags.isEmpty():
         return bags.select("doc_id", F.lit("").alias("subject")).limit(0)
