@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacantia.discover import websites
 from vacantia.functions import urls
 from vacantia.html.channels import channels_of_pages
 from vacantia.operators import state
 from vacantia.plans.relational_queries import SQL as RELATIONAL_SQL
+from vacantia.plans.relational_queries import fold_sql, host_sql
 from vacantia.plans.tables import table
 from vacantia.resolve import fold
 from vacantia.rules.classify import classified
@@ -48,6 +50,13 @@ def website_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "companies").select("id", urls.website_candidates("website_url").alias("c")).select("id", "c.url", "c.host").filter("host is not null")
 
 
+def websites_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """The three likeliest own addresses of each company among its evidence, by name, place and host."""
+    k, c = table(spark, sf, "contact_channels"), table(spark, sf, "companies")
+    found = k.select("company_id", F.col("evidence_signal").alias("title"), F.col("value").alias("snippet"), F.col("evidence_url").alias("url")).join(c.select(F.col("id").alias("company_id"), F.col("canonical_name").alias("name"), "city"), "company_id")
+    return websites.ranked_candidates(found).select("company_id", "url", "score", "rank")
+
+
 def _table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table as a stream of its files. The path is a pattern, as a stream's plain path must be a folder, and a table may be one file."""
     return ingest.stream_of(spark, f"{sf}/[{name[0]}]{name[1:]}.parquet", table(spark, sf, name).schema)
@@ -70,5 +79,22 @@ def stream_jobs_current(spark: SparkSession, sf: str) -> DataFrame:
     return state.current_postings(spark.read.schema(source.schema).parquet(f"{base}/log"))
 
 
-QUERIES = {f.__name__: f for f in (resolved_postings, resolved_companies, evidence_classified, channels_from_evidence, urls_canonical, website_candidates, stream_run_windows, stream_jobs_current)}
-SQL = {"stream_run_windows": RELATIONAL_SQL["run_windows"], "stream_jobs_current": RELATIONAL_SQL["jobs_current_view"]}
+QUERIES = {f.__name__: f for f in (resolved_postings, resolved_companies, evidence_classified, channels_from_evidence, urls_canonical, website_candidates, websites_ranked, stream_run_windows, stream_jobs_current)}
+_STOP = ", ".join(f"'{w}'" for w in sorted(websites.STOP_WORDS))
+_BLOCKED = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in sorted(websites.BLOCKED_HOSTS))
+_RANKED = f"""
+    WITH b AS (
+        SELECT k.id, company_id, canonical_name AS name, {fold_sql("coalesce(c.city, '')")} AS place, evidence_signal AS title, value AS snippet, evidence_url AS url, {host_sql("evidence_url")} AS host
+        FROM contact_channels k JOIN companies c ON c.id = company_id),
+    m AS (SELECT DISTINCT id, w FROM (SELECT id, unnest(string_split({fold_sql("name")}, ' ')) AS w FROM b) WHERE length(w) >= 2 AND w NOT IN ({_STOP})),
+    t AS (SELECT DISTINCT id, w FROM (SELECT id, unnest(string_split({fold_sql("concat_ws(' ', title, snippet, host)")}, ' ')) AS w FROM b)),
+    o AS (
+        SELECT m.id, count(*) AS n, count(t.w) AS shared, bool_or(length(m.w) >= 4 AND contains(replace({fold_sql("host")}, ' ', ''), m.w)) OR contains(any_value(replace({fold_sql("host")}, ' ', '')), string_agg(m.w, '' ORDER BY m.w)) AS in_host
+        FROM m JOIN b ON b.id = m.id LEFT JOIN t ON t.id = m.id AND t.w = m.w GROUP BY 1),
+    s AS (
+        SELECT company_id, url, CASE WHEN {_BLOCKED} THEN 0 ELSE least(0.62::DOUBLE * shared / n + CASE WHEN in_host THEN 0.2::DOUBLE ELSE 0 END
+               + CASE WHEN place <> '' AND contains({fold_sql("concat_ws(' ', title, snippet)")}, place) THEN 0.12::DOUBLE ELSE 0 END
+               + CASE WHEN regexp_matches({fold_sql("coalesce(title, '')")}, 'kontakt|oficjalna|official') THEN 0.04::DOUBLE ELSE 0 END, 1) END AS score
+        FROM b JOIN o USING (id) WHERE host IS NOT NULL)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY score DESC, url) AS rank FROM s WHERE score >= 0.45) WHERE rank <= 3"""
+SQL = {"websites_ranked": _RANKED, "stream_run_windows": RELATIONAL_SQL["run_windows"], "stream_jobs_current": RELATIONAL_SQL["jobs_current_view"]}
