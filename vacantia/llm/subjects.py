@@ -95,6 +95,12 @@ def read_texts(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarr
     return flat[words], np.bincount(owner[words], minlength=len(lists)), sentence[words]
 
 
+def words_of(texts: list[str | None]) -> list[np.ndarray]:
+    """The buckets of the word stems of each text."""
+    flat, sizes, _ = read_texts(texts)
+    return np.split(flat, np.cumsum(sizes)[:-1]) if texts else []
+
+
 def sentences(text: str | None) -> list[list[int]]:
     """The buckets of the word stems of each sentence that has any."""
     flat, _, sentence = read_texts([text])
@@ -163,9 +169,9 @@ def _padded(f: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 def start(samples: list[tuple[str, str]], subjects: list[str]) -> np.ndarray:
     """Expected counts to start from: BUCKETS x (subjects + background)."""
     counts = np.zeros((BUCKETS, len(subjects)))
-    for subject, text in samples:
+    for (subject, _), words in zip(samples, words_of([t for _, t in samples])):
         if subject in subjects:
-            np.add.at(counts[:, subjects.index(subject)], [w for s in sentences(text) for w in s], 1)
+            np.add.at(counts[:, subjects.index(subject)], words, 1)
     per = counts / np.maximum(1, counts.sum(axis=0))
     total = per.sum(axis=1, keepdims=True)
     purity = np.divide(per, total, out=np.full_like(per, 1 / max(1, len(subjects))), where=total > 0)
@@ -184,9 +190,9 @@ def topics(counts: np.ndarray) -> np.ndarray:
 def map_topics(weights: np.ndarray, samples: list[tuple[str, str]], subjects: list[str]) -> list[int]:
     """For each topic the subject whose samples hold most of its top terms, or -1."""
     held = np.zeros((BUCKETS, len(subjects)))
-    for subject, text in samples:
+    for (subject, _), words in zip(samples, words_of([t for _, t in samples])):
         if subject in subjects:
-            held[list({w for s in sentences(text) for w in s}), subjects.index(subject)] += 1
+            held[np.unique(words), subjects.index(subject)] += 1
     per = held / np.maximum(1, held.sum(axis=0))
     seen = held.sum(axis=1) > 1
     lift = weights / weights.mean(axis=1, keepdims=True)
