@@ -68,3 +68,9 @@ def test_ids_are_dense_and_in_order(spark):
 
 def test_empty(spark):
     assert fold.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_parts_of_long_chains(spark):
+    rows = [(f"n{i:03d}", f"s{i}") for i in range(60)] + [(f"n{i + 1:03d}", f"s{i}") for i in range(60)] + [("z", None), ("y", "t"), ("x", "t")]
+    got = {r.name: r.part for r in fold.parts(spark.createDataFrame(rows, "name string, strong string")).collect()}
+    assert {got[f"n{i:03d}"] for i in range(61)} == {"n000"} and (got["z"], got["y"], got["x"]) == ("z", "x", "x")

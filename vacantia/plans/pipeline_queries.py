@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.discover import websites
-from vacantia.functions import urls
+from vacantia.functions import identifiers, urls
 from vacantia.html.channels import channels_of_pages
 from vacantia.operators import state
 from vacantia.plans.relational_queries import SQL as RELATIONAL_SQL
@@ -25,6 +25,16 @@ def resolved_postings(spark: SparkSession, sf: str) -> DataFrame:
     return fold.resolve(table(spark, sf, "job_postings"))
 
 
+def resolved_with_identifiers(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the strong identifier of each posting's company: of those of 0.95 or surer the least, valid by its kind."""
+    o = table(spark, sf, "company_identifier_observations")
+    kind = identifiers.identifier_kind(F.col("kind"))
+    value = identifiers.identifier_value(kind, F.col("value"))
+    sure = o.select("company_id", kind.alias("k"), value.alias("v"), "confidence").filter(F.col("v").isNotNull() & identifiers.is_strong(F.col("k"), F.col("confidence")))
+    strong = sure.groupBy("company_id").agg(F.min(F.concat_ws(":", "k", "v")).alias("strong"))
+    return fold.resolve(table(spark, sf, "job_postings").join(strong, "company_id", "left"), strong="strong")
+
+
 def resolved_companies(spark: SparkSession, sf: str) -> DataFrame:
     r = fold.resolve(table(spark, sf, "job_postings"))
     return r.groupBy("company_seq", "company_key").agg(F.count("*").alias("postings"), F.count_if(F.col("created")).alias("made")).select("*")
@@ -79,7 +89,7 @@ def stream_jobs_current(spark: SparkSession, sf: str) -> DataFrame:
     return state.current_postings(spark.read.schema(source.schema).parquet(f"{base}/log"))
 
 
-QUERIES = {f.__name__: f for f in (resolved_postings, resolved_companies, evidence_classified, channels_from_evidence, urls_canonical, website_candidates, websites_ranked, stream_run_windows, stream_jobs_current)}
+QUERIES = {f.__name__: f for f in (resolved_postings, resolved_with_identifiers, resolved_companies, evidence_classified, channels_from_evidence, urls_canonical, website_candidates, websites_ranked, stream_run_windows, stream_jobs_current)}
 _STOP = ", ".join(f"'{w}'" for w in sorted(websites.STOP_WORDS))
 _BLOCKED = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in sorted(websites.BLOCKED_HOSTS))
 _RANKED = f"""

@@ -64,7 +64,11 @@ def prepared(postings: DataFrame, seq: str = "id", strong: str | None = None) ->
 
 
 def parts(rows: DataFrame) -> DataFrame:
-    """name, part: names that strong identifiers connect, over any number of steps, share a part."""
+    """name, part: names that strong identifiers connect, over any number of steps, share a part.
+
+    A part is the least name of it that is known; after each round a name takes the part of its part, so the rounds grow
+    with the logarithm of the longest chain.
+    """
     edges = cut(rows.filter("strong is not null").select("name", "strong").distinct())
     label = cut(rows.select("name").distinct().withColumn("part", F.col("name")))
     while True:
@@ -73,7 +77,8 @@ def parts(rows: DataFrame) -> DataFrame:
         nxt = cut(label.join(new, "name", "left").select("name", F.least("part", F.coalesce("least", "part")).alias("part"), (F.col("least") < F.col("part")).alias("moved")))
         if nxt.filter("moved").isEmpty():
             return nxt.select("name", "part")
-        label = nxt.select("name", "part")
+        above = nxt.select(F.col("name").alias("part"), F.col("part").alias("up"))
+        label = nxt.select("name", "part").join(above, "part", "left").select("name", F.coalesce("up", "part").alias("part"))
 
 
 def _fold_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
