@@ -239,7 +239,7 @@ def _firms(spark, sf):
     return c.select("id", F.col("normalized_name").alias("name"), F.col("normalized_city").alias("city"), "website_url", *sure)
 
 
-def review_block_pairs(spark, sf):
+def review_all_block_pairs(spark, sf):
     """Pairs of companies that share a word of 4 letters, first or last letters or a sure website, in any city."""
     return review.blocked_pairs(_firms(spark, sf))
 
@@ -296,7 +296,7 @@ QUERIES = {f.__name__: f for f in (
     jobs_current_view, jobs_upsert_stats, source_job_counts, company_aliases_accumulated, company_locations_accumulated, company_list, green_channels, best_channel_per_kind, top3_evidence_hosts,
     identifier_current, identifier_conflicts, identifier_conflicting_rows, identifier_audit, overlap_by_source, overlap_pairwise, overlap_global, source_identity_metrics, resolution_method_stats, source_provenance_metrics,
     source_run_metrics, source_health, downstream_by_source, latest_snapshots, evidence_changes, evidence_hash_check, attempts_first_accepted, benchmark_counts, confidence_bands, contact_confusion, contact_metrics, website_eval,
-    leads, shared_contacts, pairwise_resolution_eval, label_status, stratified_sample, sample_allocation, review_block_pairs, review_scored_pairs, url_hosts, emails_in_text, folded_names, run_windows,
+    leads, shared_contacts, pairwise_resolution_eval, label_status, stratified_sample, sample_allocation, review_all_block_pairs, review_scored_pairs, url_hosts, emails_in_text, folded_names, run_windows,
 )}
 
 _FP = f"""fps AS (SELECT DISTINCT lower(trim(source)) AS source, {legal_sql(fold_sql('company_name_raw'))} || '|' || {fold_sql('title')} || '|' || coalesce({fold_sql('city')}, '') AS fp
@@ -383,7 +383,7 @@ SQL = {
     "label_status": "WITH x AS (SELECT CASE WHEN id % 4 = 0 THEN '' WHEN id % 13 = 0 THEN '__exclude__' ELSE coalesce(lower(trim(decision)), '') END AS v FROM contact_channels) SELECT count(*) AS total, count(*) FILTER (WHERE v = '') AS blank, count(*) FILTER (WHERE v = '__exclude__') AS excluded, count(*) FILTER (WHERE v IN ('green', 'review', 'ignore')) AS labelled, count(*) FILTER (WHERE v NOT IN ('', '__exclude__', 'green', 'review', 'ignore')) AS invalid FROM x",
     "stratified_sample": f"WITH {_STRATA}, {_TAKE} SELECT id, source, method FROM (SELECT id, source, coalesce(company_resolution_method, 'legacy') AS method, source || '|' || coalesce(company_resolution_method, 'legacy') AS stratum, row_number() OVER (PARTITION BY source || '|' || coalesce(company_resolution_method, 'legacy') ORDER BY sha256('seed' || chr(31) || 'row' || chr(31) || id::VARCHAR)) AS rn FROM job_postings) JOIN take USING (stratum) WHERE rn <= take",
     "sample_allocation": f"WITH {_STRATA}, {_TAKE} SELECT * FROM take",
-    "review_block_pairs": f"""
+    "review_all_block_pairs": f"""
         WITH f AS (
             SELECT id, normalized_name AS name, replace(normalized_name, ' ', '') AS bare, {host_sql("website_url")} AS host, website_confidence::VARCHAR NOT IN ('nan', '-nan') AND website_confidence >= 0.8 AS sure
             FROM companies WHERE normalized_name IS NOT NULL),
