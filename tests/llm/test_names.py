@@ -106,6 +106,17 @@ def test_common_cores_meet_where_something_else_agrees(spark, monkeypatch):
     assert company_clusters(spark, rows) <= plain
 
 
+def test_common_cores_keep_all_pairs(spark, monkeypatch):
+    """Nodes of a core that all have, of which nothing else agrees, are compared as those of a rare one."""
+    nodes = spark.createDataFrame([(i, "", f"place {i}", "", "", "") for i in range(12)], "node bigint, trades string, place string, host string, forms string, person string")
+    by_node = spark.createDataFrame([(i, c, c == "xyz") for i in range(12) for c in (["nowak", "xyz"] if i % 4 == 0 else ["nowak"])] + [(3, "nowaks", False), (5, "xyz", False)], "node bigint, core string, initials boolean")
+    links = spark.createDataFrame([("nowak", "nowaks", 1), ("nowak", "nowak", 0), ("nowaks", "nowaks", 0), ("xyz", "xyz", 0)], "c1 string, c2 string, edits int")
+    plain = sorted(map(tuple, names._candidates(links, by_node, nodes).collect()))
+    assert [r[:2] for r in plain] == [(a, b) for a in range(12) for b in range(a + 1, 12)]
+    monkeypatch.setattr(names, "COMMON_NODES", 3)
+    assert sorted(map(tuple, names._candidates(links, by_node, nodes).collect())) == plain
+
+
 def test_estimate_finds_what_agreement_says():
     rng = np.random.default_rng(5)
     one = rng.random(20_000) < 0.25

@@ -16,7 +16,7 @@
    are and whether trades, places, websites, kinds of business and first names agree, differ or are unknown. What each of
    these says is not set but estimated from the candidate pairs themselves, by expectation maximisation of
    a two-class model over the counts of all patterns of agreement (a few hundred, whatever the size of the tables).
-   A core that stands in more than `COMMON` of all nodes says too little alone; its nodes meet where something else agrees.
+   All nodes with linked cores are compared; the nodes of a core that more than `COMMON` of all have are dealt to several tasks.
 4. Average linkage: within each connected part of the graph the two nearest clusters merge while the
    mean similarity of their members (0 where there is no link) is `LINK` or more. All pairs of clusters
    that are each other's nearest merge in one round, which gives the same tree; the rounds run over all
@@ -51,7 +51,7 @@ LINK, LEAST = 0.55, 0.2
 PART_EDGES = 200_000
 #: Shortest core that tells firms apart.
 CORE_LETTERS = 3
-#: Share of all nodes (and number of them) from which a core says too little alone.
+#: Share of all nodes (and number of them) from which the nodes of one core are dealt to several tasks.
 COMMON, COMMON_NODES = 0.01, 64
 #: What a pair of nodes is compared by besides the cores.
 FIELDS = ("trades", "place", "host", "forms", "person")
@@ -335,22 +335,20 @@ def _probability(odds: float, near: np.ndarray, agree: np.ndarray) -> Column:
 
 
 def _candidates(links: DataFrame, by_node: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b (a < b), near of nodes with linked cores; nodes with a common core only where something else agrees."""
+    """a, b (a < b), near of all nodes with linked cores; the nodes of a common core are dealt to several tasks."""
     n = nodes.count()
-    common = by_node.groupBy("core").agg(F.count_distinct("node").alias("n")).filter((F.col("n") > COMMON_NODES) & (F.col("n") > COMMON * n)).select("core")
+    common = by_node.groupBy("core").agg(F.count_distinct("node").alias("n")).filter((F.col("n") > COMMON_NODES) & (F.col("n") > COMMON * n)).select("core", F.ceil(F.sqrt("n")).cast("int").alias("parts"))
     common = cut(common)  # 1 / COMMON times the cores of a node at most
     p, q = (by_node.select(F.col("node").alias(f"n{i}"), F.col("core").alias(f"c{i}"), F.col("initials").alias(f"i{i}")) for i in (1, 2))
     if common.isEmpty():
         pairs = links.join(p, "c1").join(q, "c2")
     else:
-        rare = links.join(F.broadcast(common.select(F.col("core").alias("c1"))), "c1", "left_anti").join(F.broadcast(common.select(F.col("core").alias("c2"))), "c2", "left_anti")
-        hot = links.join(F.broadcast(common), (F.col("core") == F.col("c1")) | (F.col("core") == F.col("c2"))).drop("core").distinct()
-        value = lambda f: F.substring(F.col(f), 1, 1) if f == "person" else F.col(f)
-        keys = nodes.select("node", F.explode(F.filter(F.array(*[F.when(F.col(f) != "", F.concat(F.lit(f"{f} "), value(f))) for f in FIELDS]), lambda k: k.isNotNull())).alias("key"))
-        pk, qk = p.join(keys.withColumnRenamed("node", "n1"), "n1"), q.join(keys.withColumnRenamed("node", "n2"), "n2")
-        pairs = rare.join(p, "c1").join(q, "c2").unionByName(hot.join(pk, "c1").join(qk, ["c2", "key"]).drop("key"))
-    # initials of both say nothing, and only equal ones count
-    ok = (F.col("n1") != F.col("n2")) & ~(F.col("i1") & F.col("i2")) & ((F.col("c1") == F.col("c2")) | ~(F.col("i1") | F.col("i2")))
+        parts = F.broadcast(common.withColumnRenamed("core", "c2"))
+        left = links.join(p, "c1").join(parts, "c2", "left").withColumn("part", F.pmod(F.xxhash64("n1"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        right = q.join(parts, "c2", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        pairs = left.join(right, ["c2", "part"]).drop("part")
+    # initials of both say nothing, and only equal ones count; of one core two nodes meet in both orders
+    ok = (F.col("n1") != F.col("n2")) & ~(F.col("i1") & F.col("i2")) & F.when(F.col("c1") == F.col("c2"), F.col("n1") < F.col("n2")).otherwise(~(F.col("i1") | F.col("i2")))
     near = F.when(F.col("i1") | F.col("i2"), 4).when(F.col("edits").isNull(), 3).otherwise(F.least("edits", F.lit(2)))
     return pairs.filter(ok).groupBy(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).agg(F.min(near).alias("near"))
 
