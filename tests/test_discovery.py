@@ -57,6 +57,24 @@ def test_large_keys_keep_all_pairs(spark):
     assert scored[0, 2] == 1.0 and (0, 3) not in scored
 
 
+def test_pairs_of_many_keys_meet_once_and_are_not_shuffled(spark):
+    words = [a + b for a in ("kowa", "lube", "masz", "nord", "opta", "pola", "rana", "sten", "tarn", "wild") for b in ("bud", "lex", "mer", "pol", "rem", "tor", "wex", "zam")]
+    names = [f"{words[i * 7 % 80]} {words[i * i % 80]} {words[(3 * i + i // 9) % 80]}" for i in range(300)]
+    rows = [(i, n, None, f"https://h{i % 40}.example", 0.9, 0.9) for i, n in enumerate(names)] + [(None, names[0], None, None, None, None), (5, "kowabud inna", None, None, None, 0.9)]
+    df = spark.createDataFrame(rows, "id bigint, name string, city string, website_url string, website_confidence double, confidence double")
+    keys = {}
+    for r in review.keys_of(df.filter("id is not null")).collect():
+        keys.setdefault(r.key, set()).add(r.id)
+    assert sum(len(ids) > 1 for ids in keys.values()) > 2 * review.HOT
+    want = sorted({p for ids in keys.values() for p in combinations(sorted(ids), 2)})
+    for block in (200, 3):
+        pairs = review.blocked_pairs(df, block=block)
+        assert sorted(map(tuple, pairs.collect())) == want
+        plan = pairs._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert not any(x in plan[: plan.index("SortMergeJoin")] for x in ("Exchange", "Aggregate"))
+    assert review.blocked_pairs(df.limit(0)).count() == 0
+
+
 def test_review_queries_keep_frequent_words_of_any_city(spark, tmp_path):
     from vacantia.plans import relational_queries as rq
 

@@ -1,7 +1,8 @@
 """Pairs of firms that a person should look at: blocked, scored, never merged.
 
 Firms meet under keys of their names (words, first and last letters) and confirmed websites. All pairs
-of a key are proposed; a key under which more than `BLOCK` firms stand is dealt to several tasks. Before
+of a key are proposed, each under the first key that both firms have, so pairs are never made twice and never
+shuffled; the firms of a key under which more than `BLOCK` stand are dealt to the cells of a square. Before
 names are compared, pairs are left out whose score couldn't reach the least one with the best name
 similarity that their lengths allow.
 """
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 
 from vacantia.resolve.decide import is_distinctive
 from vacantia.functions.urls import host_of
+from vacantia.session import cut
 
 BLOCK = 200
+#: Keys of most firms whose sets are kept as bits of a number.
+HOT = 63
 LEAST = 0.82
 SURE_SITE, SURE_IDENTITY = 0.8, 0.8
 
@@ -32,15 +36,45 @@ def keys_of(firms: DataFrame) -> DataFrame:
     return firms.select("id", F.coalesce("city", F.lit("")).alias("city"), F.substring(compact, 1, 3).alias("start"), F.explode(F.array_compact(F.array_distinct(F.concat(words, ends, site)))).alias("key"))
 
 
+def _dealt_keys(firms: DataFrame, block: int) -> DataFrame:
+    """id, at, hot, before, rest, cell of every firm and key under which another firm stands, for `_met`.
+
+    Keys are numbered (`at`), those of most firms first. `hot` has a bit for each of the first `HOT` keys that the firm has,
+    `before` the bits of those ahead of this key; `rest` are the other keys ahead of it. A key of over `block` firms is a
+    square of cells: a firm stands in one row of it as the first of a pair and in all columns as the second.
+    """
+    k = keys_of(firms).filter("id is not null").select("id", "key").distinct()
+    counts = cut(k.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").select("key", F.monotonically_increasing_id().alias("at"), F.ceil(F.sqrt(F.col("n") / block)).cast("int").alias("cells")))
+    first = [r["at"] for r in counts.select("at").orderBy("at").limit(HOT).collect()]
+    ranks = F.lit(first or [-1]).cast("array<bigint>")
+    mine = k.join(counts, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "cells"))).alias("keys"))
+    bits = F.lit([1 << i for i in range(HOT)]).cast("array<bigint>")
+    bit = lambda x: F.element_at(bits, F.array_position(ranks, x["at"]).cast("int"))
+    is_hot = lambda x: x["at"] <= F.lit(first[-1] if first else -1)
+    mine = mine.withColumn("hot", F.aggregate(F.filter("keys", is_hot), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(bit(x)))).withColumn("cold", F.transform(F.filter("keys", lambda x: ~is_hot(x)), lambda x: x["at"]))
+    each = mine.select("id", "hot", "cold", F.explode("keys").alias("k"))
+    before = F.when(is_hot(F.col("k")), bit(F.col("k")) - 1).otherwise(F.lit(-1))
+    return each.select("id", F.col("k.at").alias("at"), "hot", before.alias("before"), F.filter("cold", lambda c: c < F.col("k.at")).alias("rest"), F.col("k.cells").alias("cells"))
+
+
+def _met(dealt: DataFrame, extra: list[str] = [], also: Column | None = None) -> DataFrame:
+    """a, b of the firms that meet under the first key that both have, and so once; `also` is asked of both besides."""
+    tasks = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt.sparkSession.sparkContext.defaultParallelism)
+    cols = ["id", "hot", "before", "rest", *extra]
+    own = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
+    a = dealt.withColumn("row", own).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    b = dealt.withColumn("column", own).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    # a number of tasks of its own: a cell of a few bytes makes many pairs
+    a, b = (x.select("at", "row", "column", *cols).repartition(tasks, "at", "row", "column").alias(s) for x, s in ((a, "a"), (b, "b")))
+    on = (F.col("a.at") == F.col("b.at")) & (F.col("a.row") == F.col("b.row")) & (F.col("a.column") == F.col("b.column")) & (F.col("a.id") < F.col("b.id"))
+    on = on & (F.col("a.hot").bitwiseAND(F.col("b.hot")).bitwiseAND(F.col("a.before")) == 0)
+    on = on & ((F.size("a.rest") == 0) | (F.size("b.rest") == 0) | ~F.arrays_overlap("a.rest", "b.rest"))
+    return a.join(b.hint("merge"), on if also is None else on & also)
+
+
 def blocked_pairs(firms: DataFrame, block: int = BLOCK) -> DataFrame:
-    """id_a < id_b of firms that share a key, each pair once."""
-    k = keys_of(firms).select("id", "key").distinct()
-    parts = k.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    k = k.join(parts, "key")
-    a = k.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("a")
-    b = k.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, on).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    """id_a < id_b of firms that share a key, each pair once: nothing but the keys is shuffled, never the pairs."""
+    return _met(_dealt_keys(firms, block)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
 
 def scored_pairs(firms: DataFrame, pairs: DataFrame, least: float = LEAST) -> DataFrame:
