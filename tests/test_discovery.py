@@ -1,6 +1,8 @@
 """Website ranking and confirmation, review pairs, and portals with pages of their own."""
 
 import json
+import random
+from difflib import SequenceMatcher
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -75,6 +77,28 @@ def test_pairs_of_many_keys_meet_once_and_are_not_shuffled(spark):
     assert review.blocked_pairs(df.limit(0)).count() == 0
 
 
+def test_pairs_that_cannot_score_are_left_out_where_they_meet(spark):
+    rng = random.Random(4)
+    core = lambda: "".join(rng.choice(["ka", "lo", "mar", "te", "wan", "ł", "01", "😀"]) for _ in range(rng.randrange(1, 5)))
+    names = ["", " ", "a", "aaaaaaaaaaaa", "przedsiebiorstwo"] + [" ".join(["przedsiebiorstwo", rng.choice(["handlowe", "uslugowe"]), *(core() for _ in range(rng.randrange(1, 3)))][rng.randrange(2) :]) for _ in range(150)]
+    names += [n[:-1] + rng.choice("abz") for n in names[5:35]] + [" ".join(reversed(n.split())) for n in names[35:50]]
+    rows = [(i, n, rng.choice([None, "", "lodz", "radom"]), rng.choice([None, "https://a.example", f"https://h{i % 9}.example"]), rng.choice([None, 0.5, 0.9]), rng.choice([None, 0.5, 0.9])) for i, n in enumerate(names)] + [(7, "kola przedsiebiorstwo", None, None, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, name string, city string, website_url string, website_confidence double, confidence double")
+    whole = review.blocked_pairs(df)
+    want = sorted(map(tuple, review.scored_pairs(df, whole).collect()))
+    likely = review.likely_pairs(df, block=20)
+    assert len(want) > 50 and sorted(map(tuple, review.scored_pairs(df, likely).collect())) == want
+    assert len(want) <= likely.count() < whole.count() / 3
+    assert review.likely_pairs(df, least=0.0).count() == whole.count()
+
+
+def test_similarity_is_that_of_the_standard_library():
+    rng = random.Random(6)
+    for i in range(3000):
+        a, b = ("".join(rng.choice("abc d"[: rng.randrange(1, 6)]) for _ in range(rng.randrange(230 if i % 40 == 0 else 15))) for _ in "ab")
+        assert review.similarity(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
+
+
 def test_review_queries_keep_frequent_words_of_any_city(spark, tmp_path):
     from vacantia.plans import relational_queries as rq
 

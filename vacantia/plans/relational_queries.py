@@ -247,7 +247,7 @@ def review_all_block_pairs(spark, sf):
 def review_scored_pairs(spark, sf):
     """Those pairs that score high enough for a person to look at."""
     firms = _firms(spark, sf)
-    return review.scored_pairs(firms, review.blocked_pairs(firms))
+    return review.scored_pairs(firms, review.likely_pairs(firms))
 
 
 def url_hosts(spark, sf):

@@ -2,9 +2,9 @@
 
 Firms meet under keys of their names (words, first and last letters) and confirmed websites. All pairs
 of a key are proposed, each under the first key that both firms have, so pairs are never made twice and never
-shuffled; the firms of a key under which more than `BLOCK` stand are dealt to the cells of a square. Before
-names are compared, pairs are left out whose score couldn't reach the least one with the best name
-similarity that their lengths allow.
+shuffled; the firms of a key under which more than `BLOCK` stand are dealt to the cells of a square. Where
+pairs meet to be scored, those are left out whose score couldn't reach the least one, by bounds of letters and
+words that never leave out a pair that does.
 """
 
 from __future__ import annotations
@@ -77,14 +77,90 @@ def blocked_pairs(firms: DataFrame, block: int = BLOCK) -> DataFrame:
     return _met(_dealt_keys(firms, block)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
 
+def _score(name: Column, tokens: Column, place: Column, site: Column, sure: Column, weak: Column) -> Column:
+    base = 0.72 * name + 0.28 * tokens + F.when(place, 0.04).otherwise(0.0)
+    base = F.when(site, F.greatest(base + 0.15, F.lit(0.9))).otherwise(base)
+    base = base + F.when(sure, 0.02).otherwise(0.0) - F.when(weak, 0.08).otherwise(0.0)
+    return F.least(F.greatest(base, F.lit(0.0)), F.lit(1.0))
+
+
+def _reduced(firms: DataFrame) -> DataFrame:
+    """id and what `_may_score` asks of a firm: numbers alone, whatever the length of its name.
+
+    `some` and `more` have for each of 32 groups of letters a bit for the first to fourth letter of it in the name, `words`
+    one for each word by its hash.
+    """
+    bits = F.lit([1 << i if i < 63 else -(1 << 63) for i in range(64)]).cast("array<bigint>")
+    none = F.lit(0).cast("bigint")
+
+    def raised(held: Column, low: Column, high: Column) -> Column:
+        return held.bitwiseOR(low).bitwiseOR(F.when(held.bitwiseAND(low) != 0, high).otherwise(none))
+
+    def letter(held: Column, x: Column) -> Column:
+        group = F.pmod(F.ascii(x), F.lit(32)) * 2
+        low, high = F.element_at(bits, group + 1), F.element_at(bits, group + 2)
+        return F.struct(raised(held["some"], low, high).alias("some"), F.when(held["some"].bitwiseAND(high) != 0, raised(held["more"], low, high)).otherwise(held["more"]).alias("more"))
+
+    words = F.array_distinct(F.split("name", " "))
+    letters = F.aggregate(F.filter(F.split("name", ""), lambda x: x != ""), F.struct(none.alias("some"), none.alias("more")), letter)
+    marks = F.aggregate(words, none, lambda held, w: held.bitwiseOR(F.element_at(bits, F.pmod(F.hash(w), F.lit(64)) + 1)))
+    out = firms.select("id", F.length("name").alias("long"), F.size(words).alias("n"), marks.alias("words"), letters.alias("l"), F.when(F.col("city").isNotNull(), F.xxhash64("city")).alias("place"), F.when(F.col("website_confidence") >= SURE_SITE, host_of(F.col("website_url"))).alias("host"), F.coalesce(F.col("confidence") >= SURE_IDENTITY, F.lit(False)).alias("sure"))
+    return out.select("id", "long", "n", "words", "l.some", "l.more", "place", F.when(F.col("host").isNotNull(), F.xxhash64("host")).alias("site"), "sure")
+
+
+def _may_score(least: float) -> Column:
+    """Whether firms a and b of `_reduced` can reach `least`: no score is above what is worked out here.
+
+    The blocks that names have in common are letters of both, so a letter that only one has takes from the similarity; a
+    word whose bit only one has is no common word.
+    """
+    a, b = (lambda c, s=s: F.col(f"{s}.{c}") for s in "ab")
+    off = F.greatest(F.bit_count(a("some").bitwiseXOR(b("some"))) + F.bit_count(a("more").bitwiseXOR(b("more"))), F.abs(a("long") - b("long")))
+    both = a("long") + b("long")
+    name = F.when(both > 0, (both - off) / both).otherwise(1.0)
+    shared = F.least(a("n") - F.bit_count(a("words").bitwiseAND(F.bitwise_not(b("words")))), b("n") - F.bit_count(b("words").bitwiseAND(F.bitwise_not(a("words")))))
+    same = lambda c: F.coalesce(a(c) == b(c), F.lit(False))
+    return _score(name, shared / (a("n") + b("n") - shared), same("place"), same("site"), a("sure") & b("sure"), F.lit(False)) >= least - 1e-9
+
+
+def likely_pairs(firms: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """Those of `blocked_pairs` that can score `least`; what can't is left out where it meets."""
+    features = _reduced(firms)
+    return _met(_dealt_keys(firms, block).join(features, "id"), features.columns[1:], _may_score(least)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+
+
+def similarity(a: str, b: str) -> float:
+    """`SequenceMatcher(None, a, b).ratio()`, the blocks looked for by growing the longest one so far."""
+    if len(b) >= 200:  # there it leaves frequent letters out
+        return SequenceMatcher(None, a, b).ratio()
+    total, todo = len(a) + len(b), [(a, b)]
+    matched = 0
+    while todo:
+        x, y = todo.pop()
+        size = at = 0
+        for i in range(len(x)):
+            while i + size < len(x) and x[i : i + size + 1] in y:
+                size, at = size + 1, i
+            if i + size >= len(x):
+                break
+        if size:
+            matched += size
+            to = y.index(x[at : at + size])
+            if at and to:
+                todo.append((x[:at], y[:to]))
+            if at + size < len(x) and to + size < len(y):
+                todo.append((x[at + size :], y[to + size :]))
+    return 2.0 * matched / total if total else 1.0
+
+
 def scored_pairs(firms: DataFrame, pairs: DataFrame, least: float = LEAST) -> DataFrame:
     """id_a, id_b, score and its parts of the pairs at `least` or above (firms also need confidence)."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            name = [1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(f["name_a"], f["name_b"])]
+            name = [1.0 if x == y else similarity(x, y) for x, y in zip(f["name_a"], f["name_b"])]
             weak = [not (is_distinctive(x) and is_distinctive(y)) for x, y in zip(f["name_a"], f["name_b"])]
-            yield pd.DataFrame({"id_a": f["id_a"], "id_b": f["id_b"], "name_similarity": name, "weak": weak})
+            yield f.drop(columns=["name_a", "name_b"]).assign(name_similarity=name, weak=weak)
 
     cols = ["name", "city", "website_url", "website_confidence", "confidence"]
     a, b = (firms.select(F.col("id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
@@ -97,14 +173,11 @@ def scored_pairs(firms: DataFrame, pairs: DataFrame, least: float = LEAST) -> Da
     j = j.withColumn("same_place", place).withColumn("same_website", site).withColumn("sure", sure)
 
     def score(name: Column, weak: Column) -> Column:
-        base = 0.72 * name + 0.28 * F.col("token_similarity") + F.when(F.col("same_place"), 0.04).otherwise(0.0)
-        base = F.when(F.col("same_website"), F.greatest(base + 0.15, F.lit(0.9))).otherwise(base)
-        base = base + F.when(F.col("sure"), 0.02).otherwise(0.0) - F.when(weak, 0.08).otherwise(0.0)
-        return F.least(F.greatest(base, F.lit(0.0)), F.lit(1.0))
+        return _score(name, F.col("token_similarity"), F.col("same_place"), F.col("same_website"), F.col("sure"), weak)
 
     la, lb = F.length("name_a"), F.length("name_b")
     most = F.when(la + lb > 0, 2.0 * F.least(la, lb) / (la + lb)).otherwise(1.0)
-    j = j.filter(score(most, F.lit(False)) >= least - 1e-9)
-    ratio = j.select("id_a", "id_b", "name_a", "name_b").mapInPandas(run, "id_a bigint, id_b bigint, name_similarity double, weak boolean")
-    out = j.join(ratio, ["id_a", "id_b"]).withColumn("score", score(F.col("name_similarity"), F.col("weak"))).filter(F.col("score") >= least)
+    j = j.filter(score(most, F.lit(False)) >= least - 1e-9).select("id_a", "id_b", "name_a", "name_b", "token_similarity", "same_place", "same_website", "sure")
+    out = j.mapInPandas(run, "id_a bigint, id_b bigint, token_similarity double, same_place boolean, same_website boolean, sure boolean, name_similarity double, weak boolean")
+    out = out.withColumn("score", score(F.col("name_similarity"), F.col("weak"))).filter(F.col("score") >= least)
     return out.select("id_a", "id_b", "score", "name_similarity", "token_similarity", "same_place", "same_website")
