@@ -5,8 +5,9 @@
    first name (`name_parts`). Rows with the same own reading, place and website become one node.
 2. Cores become vectors of character n-grams (n = `GRAM`, with the ends marked) weighted by inverse
    document frequency over all cores. A sparse join finds the pairs with a cosine of `COSINE` or more:
-   a core is indexed under its rarest n-grams until the rest of its vector is shorter than
-   `COSINE`, so two cores of that cosine share an indexed n-gram and no pair is lost; nothing else but the cosine is asked for.
+   a core is indexed under pairs of its n-grams, the rarest first, until the first and the rest of its vector are shorter than
+   `COSINE`, and under single n-grams that have that share alone or where it is long; two cores of that cosine share
+   a key and no pair is lost; nothing else but the cosine is asked for.
    All partners above the threshold are kept: a top n of them would drop links. One changed letter takes up to four
    n-grams away, so cores within `TYPOS` edits of each other (swapped neighbours count as one) are found besides by an index
    of deletions (every such pair meets in it, whatever its vector) and linked by the cosine of their `SHORT_GRAM`-grams.
@@ -32,6 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm import core_pairs
 from vacantia.llm.name_parts import read_name
 from vacantia.llm.places import Resolver, fold, reference_entries
 from vacantia.llm.survivors import website_host
@@ -45,6 +47,8 @@ TYPOS, SHORT_GRAM, SHORT_COSINE = 2, 2, 0.25
 BUCKETS = {SHORT_GRAM: 1 << 11, GRAM: 1 << 15}
 #: Cores of more letters are cut into segments instead of losing letters.
 DELETION_LETTERS = 40
+#: Cores whose keys one task holds.
+CORES_A_TASK = 8_000
 #: Least mean weight between two clusters that merge; least weight of a pair that is kept as a link.
 LINK, LEAST = 0.55, 0.2
 #: Most edges of one connected part that is clustered within a task.
@@ -109,115 +113,72 @@ def _core_reader(entries: list[tuple[int, str, str | None]]):
     return read
 
 
-def _grams(n: int, core: str = "core") -> Column:
-    """The different n-grams of a core, its ends marked."""
-    padded = F.concat(F.lit("^"), F.col(core), F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(n))))
-
-
-def _doubles(values: np.ndarray) -> Column:
-    """An array of doubles that the optimizer folds into one literal."""
-    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
-
-
-class _Vectors:
-    """Cores as vectors of n-grams weighted by inverse document frequency, as expressions of the core alone.
+def _squares(cores: DataFrame, *sizes: int) -> tuple[int, dict[int, np.ndarray]]:
+    """(number of distinct cores, for each n the squared weights of n-grams by bucket), weighted by inverse document frequency.
 
     Frequencies are counted over all cores in hashed `BUCKETS`, so their table is of one size and goes with the
-    expressions; vectors are never stored or joined.
+    functions; vectors are never stored or joined.
     """
+    every = cores.select("core").distinct().mapInArrow(core_pairs.counter({n: BUCKETS[n] for n in sizes}), "n int, g int, k bigint")
+    rows = every.groupBy("n", "g").agg(F.sum("k").alias("k")).collect()
+    total, out = max([r["k"] for r in rows if r["g"] < 0], default=0), {n: np.zeros(BUCKETS[n]) for n in sizes}
+    for n, weights in out.items():
+        seen = [(r["g"], r["k"]) for r in rows if r["n"] == n and r["g"] >= 0]
+        weights[[g for g, _ in seen]] = np.round((np.log(max(1, total) / np.array([k for _, k in seen], float)) + 1.0) ** 2, 4)
+    return total, out
 
-    def __init__(self, cores: DataFrame, n: int):
-        self.n = n
-        every = cores.select("core").distinct()
-        counts = every.select(F.explode(F.array_distinct(F.transform(_grams(n), self._bucket))).alias("g")).groupBy("g").agg(F.count("*").alias("k")).collect()
-        weights = np.zeros(BUCKETS[n])
-        weights[[r["g"] for r in counts]] = np.log(max(1, every.count()) / np.array([max(1, r["k"]) for r in counts], float)) + 1.0
-        self.squares = _doubles(np.round(weights**2, 4))
-
-    def _bucket(self, gram: Column) -> Column:
-        return F.pmod(F.hash(gram), F.lit(BUCKETS[self.n]))
 
-    def square(self, gram: Column) -> Column:
-        return F.element_at(self.squares, self._bucket(gram) + 1)
+def _dealt(cores: DataFrame, n: int) -> DataFrame:
+    """The `n` distinct cores over all tasks: they are few bytes, but much is made of each."""
+    return cores.select("core").distinct().repartition(_parts(cores, n), "core")
 
-    def length(self, grams: Column) -> Column:
-        """The squared length of the vector of `grams`."""
-        return F.aggregate(grams, F.lit(0.0), lambda s, g: s + self.square(g))
 
-    def common(self, c1: str, c2: str) -> Column:
-        """The squared length of what the vectors of two cores have in common."""
-        return self.length(F.array_intersect(_grams(self.n, c1), _grams(self.n, c2)))
+def _parts(cores: DataFrame, n: int) -> int:
+    """Tasks that hold all keys of `CORES_A_TASK` cores each at most, whatever the session says."""
+    return max(int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // CORES_A_TASK))
 
 
-def _dealt(cores: DataFrame) -> DataFrame:
-    """The distinct cores over all tasks: they are few bytes, but much is made of each."""
-    return cores.select("core").distinct().repartition(int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions")), "core")
+def _near_by_deletions(cores: DataFrame, n: int | None = None) -> DataFrame:
+    """c1, c2 (c1 < c2), edits of all pairs of distinct `core` values that are equal without `TYPOS` (2) letters of each at most.
 
-
-def _near_by_deletions(cores: DataFrame, norm: Column | None = None) -> DataFrame:
-    """c1, c2 (c1 < c2), edits, norms (the product of both `norm`) of all pairs of distinct `core` values that are equal without `TYPOS` (2) letters of each at most.
-
-    That holds for all cores within two edits, swapped neighbours counted as one; `edits` is 1 for a single swap too.
+    That holds for all cores within two edits, swapped neighbours counted as one; `edits` is 1 for a single swap too. Four
+    edits of one letter are two at most only as two swaps, which leave the same letters.
     """
-    # the same letters in any order have the same sum
-    letters = F.aggregate(F.split("core", ""), F.lit(0).cast("bigint"), lambda s, x: s + F.hash(x))
-    numbered = cut(_dealt(cores).withColumns({"at": F.monotonically_increasing_id(), "letters": letters, "norm": F.lit(1.0) if norm is None else norm}))
-
-    def without(text: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
-
-    once = without(F.col("core"))
-    left = F.concat(F.array("core"), once, F.flatten(F.transform(F.filter(once, lambda d: d != ""), without)))
-    short = numbered.filter(F.length("core") <= DELETION_LETTERS + TYPOS).select("at", F.explode(F.array_distinct(F.transform(left, lambda d: F.hash(d)))).alias("key"))
-    x, y = short.alias("x"), short.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.at") < F.col("y.at"))).select(F.col("x.at").alias("a"), F.col("y.at").alias("b"))
+    n = cores.select("core").distinct().count() if n is None else n
+    near = _dealt(cores, n).filter(F.length("core") <= DELETION_LETTERS + TYPOS).mapInArrow(core_pairs.deletion_indexer, "key int, core string")
+    near = near.repartition(_parts(cores, n), "key").mapInArrow(core_pairs.deletion_matcher, "c1 string, c2 string, edits int")
     # of the fifths of the shorter of two long cores one is in the other, moved by two places at most: an edit touches two of them at most
-    long = numbered.filter(F.length("core") > DELETION_LETTERS)
+    long = cores.select("core").distinct().filter(F.length("core") > DELETION_LETTERS)
     fifth = F.floor(F.col("m") / 5).cast("int")
     start = F.col("k") * fifth + 1
     size = F.when(F.col("k") == 4, F.col("m") - 4 * fifth).otherwise(fifth)
-    held = long.withColumn("m", F.length("core")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(F.col("at").alias("a"), "m", "k", F.substring(F.col("core"), start, size).alias("part"))
+    held = long.withColumn("m", F.length("core")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(F.col("core").alias("a"), "m", "k", F.substring(F.col("core"), start, size).alias("part"))
     asked = long.withColumn("m", F.explode(F.sequence(F.length("core") - TYPOS, F.length("core")))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("by", F.explode(F.sequence(F.lit(-TYPOS), F.lit(TYPOS))))
-    asked = asked.filter(start + F.col("by") >= 1).select(F.col("at").alias("b"), "m", "k", F.substring(F.col("core"), start + F.col("by"), size).alias("part"))
-    met = met.unionByName(held.join(asked, ["m", "k", "part"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    p, q = (numbered.select(F.col("at").alias(s), F.col("core").alias(c), F.col("letters").alias(f"letters_{c}"), F.col("norm").alias(f"norm_{c}")) for s, c in (("a", "p"), ("b", "q")))
-    # four edits of one letter are two at most only as two swaps, which leave the same letters
-    near = met.join(p, "a").join(q, "b").withColumn("edits", F.levenshtein("p", "q", 2 * TYPOS))
-    near = near.filter((F.col("edits") >= 0) & ((F.col("edits") < 2 * TYPOS) | (F.col("letters_p") == F.col("letters_q"))))
-    near = near.select(F.inline(F.array(F.struct("p", "q", "edits", (F.col("norm_p") * F.col("norm_q")).alias("norms"), (F.col("letters_p") == F.col("letters_q")).alias("alike")))))  # what follows is for these alone
-    at = F.filter(F.sequence(F.lit(1), F.length("p")), lambda i: F.substring("p", i, F.lit(1)) != F.substring("q", i, F.lit(1)))
-    first = F.try_element_at(at, F.lit(1))
-    swapped = F.col("alike") & (F.length("p") == F.length("q")) & (F.size(at) == 2) & (F.try_element_at(at, F.lit(2)) == first + 1) & (F.substring("p", first, F.lit(2)) == F.reverse(F.substring("q", first, F.lit(2))))
-    return near.select(F.least("p", "q").alias("c1"), F.greatest("p", "q").alias("c2"), F.when((F.col("edits") == 2) & swapped, 1).otherwise(F.col("edits")).alias("edits"), "norms")
-
-
-def misspelt_cores(cores: DataFrame) -> DataFrame:
+    asked = asked.filter(start + F.col("by") >= 1).select(F.col("core").alias("b"), "m", "k", F.substring(F.col("core"), start + F.col("by"), size).alias("part"))
+    met = held.join(asked, ["m", "k", "part"]).filter("a <> b").select(F.least("a", "b").alias("c1"), F.greatest("a", "b").alias("c2")).distinct()
+    return near.unionByName(met.mapInArrow(core_pairs.edits_adder, "c1 string, c2 string, edits int")).distinct()
+
+
+def misspelt_cores(cores: DataFrame, n: int | None = None, squares: np.ndarray | None = None) -> DataFrame:
     """c1, c2 (c1 < c2), edits, cosine of `SHORT_GRAM`-grams of the pairs of `_near_by_deletions`."""
-    vectors = _Vectors(cores, SHORT_GRAM)
-    near = _near_by_deletions(cores, vectors.length(_grams(SHORT_GRAM)))
-    return near.withColumn("cosine", vectors.common("c1", "c2") / F.sqrt("norms")).filter(F.col("cosine") >= SHORT_COSINE).drop("norms")
+    if squares is None:
+        n, by_n = _squares(cores, SHORT_GRAM)
+        squares = by_n[SHORT_GRAM]
+    near = _near_by_deletions(cores, n).mapInArrow(core_pairs.cosine_adder(SHORT_GRAM, squares), "c1 string, c2 string, edits int, cosine double")
+    return near.filter(F.col("cosine") >= SHORT_COSINE)
 
 
-def linked_cores(cores: DataFrame) -> DataFrame:
+def linked_cores(cores: DataFrame, n: int | None = None, squares: np.ndarray | None = None) -> DataFrame:
     """c1, c2 (c1 < c2), cosine of the pairs of distinct `core` values at the threshold or above.
 
-    Grams are in one order, the rarest first. Where a pair meets first, all that both have stands there or behind, so the
-    cosine is at most the lesser rest of the two, and meetings with less are discarded within the join.
+    Cores meet by two n-grams that both have (`core_pairs.cosine_keys`), so far fewer pairs meet than by one, and none
+    of that cosine is lost.
     """
-    vectors = _Vectors(cores, GRAM)
-    order = F.array_sort(F.transform(_grams(GRAM), lambda g: F.struct((-vectors.square(g)).alias("less"), g.alias("gram"))))
-    spread = cut(_dealt(cores)).select("core", order.alias("v")).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda s, g: s - g["less"]))
-    spread = spread.select("core", "norm", "v", F.posexplode("v").alias("at", "g"))
-    rest = F.col("norm") + F.aggregate(F.slice("v", 1, F.col("at")), F.lit(0.0), lambda s, g: s + g["less"])
-    # a hair is left for the rounding of the sums
-    index = spread.select("core", F.col("g.gram").alias("gram"), "norm", rest.alias("rest")).filter(F.col("rest") >= (COSINE * COSINE - 1e-9) * F.col("norm"))
-    x, y = index.alias("x"), index.alias("y")
-    bound = F.least("x.rest", "y.rest") >= (COSINE - 1e-9) * F.sqrt(F.col("x.norm") * F.col("y.norm"))
-    near = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.core") < F.col("y.core")) & bound).select(F.col("x.core").alias("c1"), F.col("y.core").alias("c2"), (F.col("x.norm") * F.col("y.norm")).alias("norms")).distinct()
-    # a filter isn't pushed below what is generated: the cosine is wanted once a pair, not at each of its meetings
-    near = near.select(F.inline(F.array(F.struct("c1", "c2", "norms"))))
-    return near.withColumn("cosine", vectors.common("c1", "c2") / F.sqrt("norms")).filter(F.col("cosine") >= COSINE).select("c1", "c2", "cosine")
+    if squares is None:
+        n, by_n = _squares(cores, GRAM)
+        squares = by_n[GRAM]
+    index = _dealt(cores, n).mapInArrow(core_pairs.cosine_indexer(GRAM, squares, COSINE), "key int, core string, norm float, bound float, long boolean")
+    return index.repartition(_parts(cores, n), "key").mapInArrow(core_pairs.cosine_matcher(GRAM, squares, COSINE), "c1 string, c2 string, cosine double").dropDuplicates(["c1", "c2"])
 
 
 def average_linkage(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, least: float = LINK) -> np.ndarray:
@@ -375,8 +336,9 @@ def employer_clusters(companies: DataFrame, aliases: DataFrame, postings: DataFr
     spelt = spelt.unionByName(member.select("node", "core", "sorted_core", "acronym")).distinct()
     by_node = spelt.select("node", F.explode(F.array(*[F.struct(F.col(x).alias("core"), F.lit(x == "acronym").alias("initials")) for x in ("core", "sorted_core", "acronym")])).alias("s")).select("node", "s.*")
     by_node = cut(by_node.filter(F.length("core") >= CORE_LETTERS).distinct())
-    cores = by_node.filter("not initials").select("core").distinct()
-    links = linked_cores(cores).select("c1", "c2", F.lit(None).cast("int").alias("edits")).unionByName(misspelt_cores(cores).select("c1", "c2", "edits"))
+    cores = cut(by_node.filter("not initials").select("core").distinct())
+    n, squares = _squares(cores, GRAM, SHORT_GRAM)
+    links = linked_cores(cores, n, squares[GRAM]).select("c1", "c2", F.lit(None).cast("int").alias("edits")).unionByName(misspelt_cores(cores, n, squares[SHORT_GRAM]).select("c1", "c2", "edits"))
     links = links.groupBy("c1", "c2").agg(F.min("edits").alias("edits"))
     links = cut(links.unionByName(by_node.select(F.col("core").alias("c1"), F.col("core").alias("c2"), F.lit(0).alias("edits")).distinct()))
     x, y = (nodes.select(*[F.col(k).alias(f"{k}{i}") for k in FIELDS], F.col("node").alias(n)) for i, n in ((1, "a"), (2, "b")))
