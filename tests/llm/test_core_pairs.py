@@ -39,7 +39,7 @@ def test_no_near_pair_is_lost_and_few_others_meet(monkeypatch, long):
     matrix = np.array([[of[g] ** 0.5 if g in own else 0.0 for g in every] for own in grams])
     cosine = matrix @ matrix.T / np.sqrt(np.outer((matrix**2).sum(1), (matrix**2).sum(1)))
     want = {(cores[i], cores[j]) for i in range(len(cores)) for j in range(len(cores)) if cores[i] < cores[j] and cosine[i, j] >= 0.6 + 1e-6}
-    index = list(core_pairs.cosine_indexer(4, squares, 0.6)([pa.RecordBatch.from_pydict({"core": cores.tolist()})]))
+    index = list(core_pairs.cosine_indexer(4, squares, 0.6, 3)([pa.RecordBatch.from_pydict({"core": cores.tolist()})]))
     got = {(r["c1"], r["c2"]): r["cosine"] for b in core_pairs.cosine_matcher(4, squares, 0.6)(index) for r in b.to_pylist()}
     at = {c: i for i, c in enumerate(cores)}
     assert len(want) > 300 and want <= set(got) and all(abs(v - cosine[at[a], at[b]]) < 1e-9 and v >= 0.6 for (a, b), v in got.items())
@@ -50,8 +50,8 @@ def test_few_cores_meet():
     rng = random.Random(6)
     cores = np.array(sorted({"".join(rng.choice(x) for x in ("klmtwzbd", "aeio", "rlnsm", "dtkmb", "aeio", "lnrtmw", "aeio", "rlntk")) for _ in range(4000)}), object)
     squares = weighed(cores)
-    index = list(core_pairs.cosine_indexer(4, squares, 0.6)([pa.RecordBatch.from_pydict({"core": cores.tolist()})]))
-    by_pairs = sum(len(x) for x, _ in core_pairs.meetings(np.concatenate([b.column("key").to_numpy() for b in index])))
+    index = list(core_pairs.cosine_indexer(4, squares, 0.6, 3)([pa.RecordBatch.from_pydict({"core": cores.tolist()})]))
+    by_pairs = sum(len(x) for x, _ in core_pairs.meetings(np.concatenate([np.sort(t.column("key").to_numpy()) for t in core_pairs.unpacked(index)])))
     single = Counter()
     for c in cores.tolist():
         windows = np.array([[ord(x) for x in f"^{c}$"[i : i + 4]] for i in range(len(c) - 1)], np.uint32)
@@ -96,7 +96,7 @@ def test_deletions_meet_where_letters_are_left_out_alike():
 
 
 def test_meetings_are_all_pairs_of_a_key(monkeypatch):
-    key = np.random.default_rng(1).integers(0, 9, 60)
+    key = np.sort(np.random.default_rng(1).integers(0, 9, 60))
     monkeypatch.setattr(core_pairs, "PAIRS_AT_ONCE", 7)
     got = [tuple(sorted(p)) for x, y in core_pairs.meetings(key) for p in zip(x.tolist(), y.tolist())]
     assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 1, 60) if key[i] == key[j]]

@@ -13,7 +13,9 @@ import pyarrow as pa
 #: Multiplier of the hashes of strings of letters, modulo 2 to the 64.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Pairs that are looked at at once; letters (or n-grams squared) of those that are compared at once.
-PAIRS_AT_ONCE, CELLS_AT_ONCE = 1 << 19, 1 << 21
+PAIRS_AT_ONCE, CELLS_AT_ONCE = 1 << 15, 1 << 21
+#: Found pairs that are held before repeated ones are left out.
+FOUND_AT_ONCE = 1 << 21
 #: Cores of a greater squared length meet by single n-grams, as the pairs of their n-grams are many.
 LONG = 3000.0
 _PAIR, _HEAVY, _LONG = np.uint64(1), np.uint64(2), np.uint64(3)
@@ -157,10 +159,8 @@ def deletion_keys(cores: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def meetings(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of positions of equal keys, some at once."""
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(key) else np.empty(0, int)
+    """All pairs of positions of equal keys, which are in order; some at once, so few that they stay in the cache."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
     ends = np.append(starts[1:], len(key)) if len(key) else starts
     behind = np.repeat(ends, ends - starts) - np.arange(len(key)) - 1
     total = np.concatenate([[0], np.cumsum(behind)])
@@ -170,7 +170,7 @@ def meetings(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         x = np.repeat(np.arange(at, to), behind[at:to])
         y = x + 1 + np.arange(len(x)) - np.repeat(total[at:to] - total[at], behind[at:to])
         if len(x):
-            yield order[x], order[y]
+            yield x, y
         at = to
 
 
@@ -270,10 +270,31 @@ def edits_of(cores: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def batches(frames: Iterable[pa.RecordBatch]) -> pa.Table | None:
-    """The rows of a task as one table."""
-    held = list(frames)
-    return pa.Table.from_batches(held).combine_chunks() if held and sum(b.num_rows for b in held) else None
+def packed(t: pa.Table, parts: int) -> pa.RecordBatch:
+    """part, rows: the rows of each part of their keys, as one value a part: rows by themselves cost more than what is done with them."""
+    part = np.mod(t.column("key").to_numpy(), parts)
+    order = np.argsort(part, kind="stable")
+    ordered = t.take(pa.array(order)).combine_chunks()
+    used, starts = np.unique(part[order], return_index=True)
+    values = []
+    for start, end in zip(starts, np.append(starts[1:], len(order))):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as w:
+            for b in ordered.slice(start, end - start).to_batches():
+                w.write_batch(b)
+        values.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(values, pa.binary())], ["part", "rows"])
+
+
+def unpacked(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each part of a task, by key."""
+    parts: dict[int, list[pa.Table]] = {}
+    for f in frames:
+        for part, rows in zip(f.column("part").to_pylist(), f.column("rows")):
+            parts.setdefault(part, []).append(pa.ipc.open_stream(rows.as_buffer()).read_all())
+    while parts:
+        t = pa.concat_tables(parts.popitem()[1])
+        yield t.take(pa.array(np.argsort(t.column("key").to_numpy(), kind="stable"))).combine_chunks()
 
 
 def coded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,9 +304,15 @@ def coded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.array(d.dictionary.to_pylist(), object)
 
 
-def different(found: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs a * n + b of all arrays, each once."""
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+def different(found: Iterable[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of numbers below n of all arrays, each once, the smaller number first."""
+    pairs, held, rows = np.empty(0, np.int64), [], 0
+    for x, y in found:
+        held.append(np.minimum(x, y) * n + np.maximum(x, y))
+        rows += len(x)
+        if rows > FOUND_AT_ONCE:
+            pairs, held, rows = np.unique(np.concatenate([pairs, *held])), [], 0
+    pairs = np.unique(np.concatenate([pairs, *held]))
     return pairs // max(n, 1), pairs % max(n, 1)
 
 
@@ -318,63 +345,71 @@ def counter(sizes: dict[int, int]) -> Callable:
     return count
 
 
-def cosine_indexer(n: int, squares: np.ndarray, cosine: float) -> Callable:
+def cosine_indexer(n: int, squares: np.ndarray, cosine: float, parts: int) -> Callable:
     def index(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
             cores = f.column("core")
-            for at, key, norm, bound, long in cosine_keys(np.array(cores.to_pylist(), object), n, squares, cosine):
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([_narrow(key), cores.take(pa.array(at)), pa.array(norm.astype(np.float32)), pa.array(bound.astype(np.float32)), pa.array(long)], ["key", "core", "norm", "bound", "long"])
+            found = [
+                pa.table([_narrow(key), cores.take(pa.array(at)), pa.array(norm.astype(np.float32)), pa.array(bound.astype(np.float32)), pa.array(long)], ["key", "core", "norm", "bound", "long"])
+                for at, key, norm, bound, long in cosine_keys(np.array(cores.to_pylist(), object), n, squares, cosine)
+            ]
+            if found:
+                yield packed(pa.concat_tables(found), parts)
 
     return index
 
 
 def cosine_matcher(n: int, squares: np.ndarray, cosine: float) -> Callable:
-    def match(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (t := batches(frames)) is None:
-            return
-        core, names = coded(t.column("core"))
-        norm, bound, long = (t.column(c).to_numpy() for c in ("norm", "bound", "long"))
+    least, longer = np.float32(cosine - 1e-5), LONG * (1 - 1e-5)  # norms and bounds are short numbers
+
+    def met(t: pa.Table, core: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        norm, bound, single = (t.column(c).to_numpy() for c in ("norm", "bound", "long"))
         root = np.sqrt(norm)
-        found: list[np.ndarray] = []
         for x, y in meetings(t.column("key").to_numpy()):
-            ok = np.minimum(bound[x], bound[y]) >= (cosine - 1e-5) * root[x] * root[y]  # these are short numbers
+            ok = np.minimum(bound[x], bound[y]) >= least * root[x] * root[y]
             x, y = x[ok], y[ok]
             # two cores that aren't long meet by pairs
-            ok = (core[x] != core[y]) & (~long[x] | (norm[x] > LONG * (1 - 1e-5)) | (norm[y] > LONG * (1 - 1e-5)))
-            x, y = core[x[ok]], core[y[ok]]
-            found.append(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)))
-        a, b = different(found, len(names))
-        value = cosines(names, a, b, n, squares)
-        ok = value >= cosine
-        c1, c2 = ordered(names, a[ok], b[ok])
-        yield pa.RecordBatch.from_arrays([pa.array(c1, pa.string()), pa.array(c2, pa.string()), pa.array(value[ok])], ["c1", "c2", "cosine"])
+            ok = (core[x] != core[y]) & (~single[x] | (norm[x] > longer) | (norm[y] > longer))
+            yield core[x[ok]], core[y[ok]]
+
+    def match(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in unpacked(frames):
+            core, names = coded(t.column("core"))
+            a, b = different(met(t, core), len(names))
+            value = cosines(names, a, b, n, squares)
+            ok = value >= cosine
+            c1, c2 = ordered(names, a[ok], b[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(c1, pa.string()), pa.array(c2, pa.string()), pa.array(value[ok])], ["c1", "c2", "cosine"])
 
     return match
 
 
-def deletion_indexer(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for f in frames:
-        cores = f.column("core")
-        for at, key in deletion_keys(np.array(cores.to_pylist(), object)):
-            yield pa.RecordBatch.from_arrays([_narrow(key), cores.take(pa.array(at))], ["key", "core"])
+def deletion_indexer(parts: int) -> Callable:
+    def index(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            cores = f.column("core")
+            found = [pa.table([_narrow(key), cores.take(pa.array(at))], ["key", "core"]) for at, key in deletion_keys(np.array(cores.to_pylist(), object))]
+            if found:
+                yield packed(pa.concat_tables(found), parts)
+
+    return index
 
 
 def deletion_matcher(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if (t := batches(frames)) is None:
-        return
-    core, names = coded(t.column("core"))
-    sizes = np.fromiter(map(len, names), np.int64, len(names))
-    found: list[np.ndarray] = []
-    for x, y in meetings(t.column("key").to_numpy()):
-        x, y = core[x], core[y]
-        ok = (x != y) & (np.abs(sizes[x] - sizes[y]) <= 2)
-        found.append(np.unique(np.minimum(x[ok], y[ok]) * len(names) + np.maximum(x[ok], y[ok])))
-    a, b = different(found, len(names))
-    edits = edits_of(names, a, b)
-    ok = edits < 9
-    c1, c2 = ordered(names, a[ok], b[ok])
-    yield pa.RecordBatch.from_arrays([pa.array(c1, pa.string()), pa.array(c2, pa.string()), pa.array(edits[ok].astype(np.int32))], ["c1", "c2", "edits"])
+    for t in unpacked(frames):
+        core, names = coded(t.column("core"))
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+
+        def met(t: pa.Table = t, core: np.ndarray = core, size: np.ndarray = sizes[core]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for x, y in meetings(t.column("key").to_numpy()):
+                ok = (core[x] != core[y]) & (np.abs(size[x] - size[y]) <= 2)
+                yield core[x[ok]], core[y[ok]]
+
+        a, b = different(met(), len(names))
+        edits = edits_of(names, a, b)
+        ok = edits < 9
+        c1, c2 = ordered(names, a[ok], b[ok])
+        yield pa.RecordBatch.from_arrays([pa.array(c1, pa.string()), pa.array(c2, pa.string()), pa.array(edits[ok].astype(np.int32))], ["c1", "c2", "edits"])
 
 
 def edits_adder(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

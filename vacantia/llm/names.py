@@ -80,17 +80,20 @@ def _reader(entries: list[tuple[int, str, str | None]]):
             r = Resolver(entries)
             made.append((r, frozenset(w for form in r.forms for w in form.split() if len(w) > 4)))
         resolver, city_words = made[0]
-        rows, seen = [], {}
+        rows, seen, places = [], {}, {}
         for name, city in zip(names, cities):
             key = (name, city)
             if key not in seen:
-                own = fold(city or "")
-                place = ""
-                if own:
-                    i = resolver.resolve(city)
-                    words = [w for w in own.split() if w not in NO_PLACE and not w.isdigit() and w not in resolver.regions]
-                    place = f"#{i}" if i else " ".join(words)
-                n = read_name(name or "", city_words | frozenset(own.split()))
+                if city not in places:
+                    own = fold(city or "")
+                    place = ""
+                    if own:
+                        i = resolver.resolve(city)
+                        words = [w for w in own.split() if w not in NO_PLACE and not w.isdigit() and w not in resolver.regions]
+                        place = f"#{i}" if i else " ".join(words)
+                    places[city] = place, city_words | frozenset(own.split())
+                place, own_words = places[city]
+                n = read_name(name or "", own_words)
                 seen[key] = (n.core, " ".join(n.trades), " ".join(n.forms), n.person, place, n.sorted_core, n.acronym)
             rows.append(seen[key])
         return pd.DataFrame(rows, columns=["core", "trades", "forms", "person", "place", "sorted_core", "acronym"])
@@ -145,8 +148,9 @@ def _near_by_deletions(cores: DataFrame, n: int | None = None) -> DataFrame:
     edits of one letter are two at most only as two swaps, which leave the same letters.
     """
     n = cores.select("core").distinct().count() if n is None else n
-    near = _dealt(cores, n).filter(F.length("core") <= DELETION_LETTERS + TYPOS).mapInArrow(core_pairs.deletion_indexer, "key int, core string")
-    near = near.repartition(_parts(cores, n), "key").mapInArrow(core_pairs.deletion_matcher, "c1 string, c2 string, edits int")
+    parts = _parts(cores, n)
+    near = _dealt(cores, n).filter(F.length("core") <= DELETION_LETTERS + TYPOS).mapInArrow(core_pairs.deletion_indexer(parts), "part int, rows binary")
+    near = near.repartition(parts, "part").mapInArrow(core_pairs.deletion_matcher, "c1 string, c2 string, edits int")
     # of the fifths of the shorter of two long cores one is in the other, moved by two places at most: an edit touches two of them at most
     long = cores.select("core").distinct().filter(F.length("core") > DELETION_LETTERS)
     fifth = F.floor(F.col("m") / 5).cast("int")
@@ -177,8 +181,8 @@ def linked_cores(cores: DataFrame, n: int | None = None, squares: np.ndarray | N
     if squares is None:
         n, by_n = _squares(cores, GRAM)
         squares = by_n[GRAM]
-    index = _dealt(cores, n).mapInArrow(core_pairs.cosine_indexer(GRAM, squares, COSINE), "key int, core string, norm float, bound float, long boolean")
-    return index.repartition(_parts(cores, n), "key").mapInArrow(core_pairs.cosine_matcher(GRAM, squares, COSINE), "c1 string, c2 string, cosine double").dropDuplicates(["c1", "c2"])
+    index = _dealt(cores, n).mapInArrow(core_pairs.cosine_indexer(GRAM, squares, COSINE, _parts(cores, n)), "part int, rows binary")
+    return index.repartition(_parts(cores, n), "part").mapInArrow(core_pairs.cosine_matcher(GRAM, squares, COSINE), "c1 string, c2 string, cosine double").dropDuplicates(["c1", "c2"])
 
 
 def average_linkage(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, least: float = LINK) -> np.ndarray:
